@@ -5,10 +5,10 @@ every place between such a pair is a certain cut: the fragments on both sides ar
 and their ids concatenated. Because fragments repeat all over a corpus, each distinct one is encoded once
 per worker and looked up afterwards.
 
-Two things besides the pair table decide where a cut is allowed, since the vocabulary's pattern looks at
-the text too: the byte before a cut is never white space (the pattern looks ahead after white space), and
-the character after it is not an apostrophe (contractions). Both are checked here, so the result equals the
-encoding of the whole text.
+The vocabulary's pattern looks at the text too. A place between a character that is no white space and white
+space is a certain cut by the pattern alone, as no merge crosses its matches. At any other place the pair table
+decides, and besides the byte before a cut is never white space (the pattern looks ahead after white space) and
+the character after it is not an apostrophe (contractions), so the result equals the encoding of the whole text.
 
 Defined cases: a null or empty text gives an empty array; strings that look like special tokens are
 ordinary text; nothing is cut off, whatever a text's length.
@@ -37,10 +37,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPACE = "\t-\r \x85\xa0  -     　"
 
 _LINE = re.compile(f"[{SPACE}]*[^\n]*[^{SPACE}]|[{SPACE}]+")
-_PART = re.compile(
-    f"[{SPACE}]*(?:[^{SPACE},.]+|(?<![0-9])[,.]|[,.](?![0-9]))+"
-    f"|[,.](?:[^{SPACE},.]+|(?<![0-9])[,.]|[,.](?![0-9]))*|[{SPACE}]+"
-)
+_PART = re.compile(f"[{SPACE}]*[^{SPACE}0-9]*(?:[0-9:]*[0-9])?")
 _DIGIT = re.compile("[0-9]")
 _LEAD = re.compile(f"[{SPACE}]*")
 
@@ -67,10 +64,9 @@ class Encoder:
                 b = np.frombuffer(token, np.uint8).astype(np.int32)
                 self.never[b[:-1] * 256 + b[1:]] = False
         table = self.never.reshape(256, 256)
-        solid = [b for b in range(256) if chr(b) not in "\t\n\x0b\x0c\r "]
-        #: May every place before white space be cut? Before a comma or point after a digit?
-        self.cut_before_space = bool(all(table[solid, ord(w)].all() for w in "\t\n\x0b\x0c\r "))
-        self.cut_in_number = bool(table[48:58][:, [ord(","), ord(".")]].all())
+        others = [b for b in range(256) if b not in b"0123456789'"]
+        #: May every place between a digit and another byte, but for an apostrophe, be cut?
+        self.cut_after_number = bool(table[48:58][:, others].all())
         self.reset()
 
     def reset(self) -> None:
@@ -92,9 +88,7 @@ class Encoder:
 
     def parts(self, text: str) -> list[str]:
         """Certain fragments of a stretch of text."""
-        if not self.cut_before_space:
-            return [text]
-        found = _PART.findall(text) if self.cut_in_number else _LINE.findall(text)
+        found = _PART.findall(text) if self.cut_after_number and "'" not in text else _LINE.findall(text)
         if len(text) > LONG // 4:
             found = [y for x in found for y in (self.forced(x) if len(x) > LONG // 4 and not x.isspace() else (x,))]
         return found
@@ -110,7 +104,7 @@ class Encoder:
     def codes(self, text: str) -> list[int]:
         """The fragments of a whole text by their places in the table of those met so far."""
         get, out = self.code.get, []
-        for line in _LINE.findall(text) if self.cut_before_space else (text,):
+        for line in _LINE.findall(text):
             k = get(line)
             if k is not None:
                 out.append(k)
