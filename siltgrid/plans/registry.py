@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from siltgrid.plans import preparation
+
 
 def queries() -> dict:
-    return {}
+    return {**preparation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**preparation.oracle_sql()}

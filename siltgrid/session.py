@@ -62,5 +62,5 @@ def latest(df: DataFrame, keys: list[str], columns: list[str], at: str = "loaded
     Rows that tie on `at` are taken to be equal in `columns`, as the input's contract says. Copies of
     one key are combined before the shuffle, so a key with a third of all rows costs one row per task.
     """
-    order = F.coalesce(F.col(at), F.timestamp_micros(F.lit(-(2**62)).cast("long") / 1024))
+    order = F.coalesce(F.col(at), F.lit("0001-01-01 00:00:00").cast("timestamp"))
     return df.groupBy(*keys).agg(*(F.max_by(F.col(c), order).alias(c) for c in columns))
