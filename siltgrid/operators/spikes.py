@@ -2,8 +2,9 @@
 
 A Hampel filter per source: the course is a robust slow-motion-and-season fit plus the rolling median of what it
 leaves, the scale comes from the median absolute deviation and is then refined on the readings within it. One or
-two successive readings beyond `limit` scales are a spike if a later reading is back on the course; longer
-departures are jumps that stay. Runs of `stuck` or more successive readings of the very same value are stuck,
+two successive readings beyond `limit` scales are a spike if a later reading is back on the course (ordinary readings stay
+within three, spikes are more than eight off, and the course itself is known to about one); longer departures
+are jumps that stay. Runs of `stuck` or more successive readings of the very same value are stuck,
 whatever the scale; infinite readings and those beyond `bound` are out of bounds.
 
 Defined cases: null, NaN and no-data readings are passed over (readings on both sides of one are successive); stuck and
@@ -86,6 +87,34 @@ def _season(t: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(ok, x - fit, np.nan)
 
 
+def _unstep(x: np.ndarray, passes: int = 2) -> np.ndarray:
+    """x without its largest jumps that stay: the medians of five readings before and after a place differ far more
+    than they do elsewhere in the row. Two spikes among five move no median."""
+    x = x.copy()
+    rows, width = x.shape
+    if width < 10:
+        return x
+    at = np.arange(width)[:, None] + np.arange(-5, 5)
+    inside = (at >= 0) & (at < width)
+    for _ in range(passes):
+        window = np.where(inside, x[:, at.clip(0, width - 1)], np.nan)
+        before, after = window[..., :5], window[..., 5:]
+        enough = ((~np.isnan(before)).sum(-1) >= 3) & ((~np.isnan(after)).sum(-1) >= 3)
+        d = np.where(enough, _median(after) - _median(before), np.nan)
+        z = np.abs(d - _median(d)[:, None])
+        spread = 1.4826 * _median(z) + 1e-9
+        z = np.nan_to_num(z / spread[:, None], nan=0.0)
+        most = z.max(1)
+        jump = np.abs(np.diff(x, axis=1, prepend=np.nan))
+        k = np.nan_to_num(np.where(z >= 0.8 * most[:, None], jump, np.nan), nan=-1.0).argmax(1)
+        row = np.flatnonzero(most > 8)
+        if not len(row):
+            break
+        shift = d[row, k[row]] - _median(d)[row]
+        x[row] -= np.where(np.arange(width)[None, :] >= k[row, None], shift[:, None], 0)
+    return x
+
+
 def _rolling(r: np.ndarray, count: np.ndarray, half: int) -> np.ndarray:
     """Median of the 2 * half nearest readings of each one, itself left out; windows are shifted inwards at the ends."""
     rows, width = r.shape
@@ -105,7 +134,7 @@ def spikes(t: np.ndarray, x: np.ndarray, course: str, half: int, limit: float) -
     if course == "zero":
         off, inflation = x.copy(), 1.0
     else:
-        r = _season(t, x)
+        r = _season(t, _unstep(x))
         off, inflation = r - _rolling(r, count, half), 1.12
     scored = np.where(x == 0, np.nan, off)  # the reference image's own zero says nothing of the noise
     scale = 1.4826 * _median(np.abs(scored)) / inflation
@@ -120,10 +149,15 @@ def spikes(t: np.ndarray, x: np.ndarray, course: str, half: int, limit: float) -
     place = np.broadcast_to(np.arange(width), x.shape)
     last_near = np.maximum.accumulate(np.where(far, -1, place), 1)
     next_near = np.minimum.accumulate(np.where(far | ~there, width, place)[:, ::-1], 1)[:, ::-1]
-    return far & (next_near < width) & (next_near - last_near - 1 <= 2)
+    # at the edge of a jump a reading lies with one of the readings around the run, a spike lies far from both
+    left = np.where(last_near >= 0, np.take_along_axis(x, last_near.clip(0), 1), np.nan)
+    right = np.where(next_near < width, np.take_along_axis(x, next_near.clip(0, width - 1), 1), np.nan)
+    with np.errstate(invalid="ignore"):
+        apart = np.fmin(np.abs(x - left), np.abs(x - right)) > 0.65 * limit * scale[:, None]
+    return far & apart & (next_near < width) & (next_near - last_near - 1 <= 2)
 
 
-def judge(group: np.ndarray, t: np.ndarray, value: np.ndarray, n: int, course: str, stuck: int = 4, bound: float = BOUND, half: int = 3, limit: float = 6.0) -> np.ndarray:
+def judge(group: np.ndarray, t: np.ndarray, value: np.ndarray, n: int, course: str, stuck: int = 4, bound: float = BOUND, half: int = 3, limit: float = 7.0) -> np.ndarray:
     """Code in REASONS of each reading; rows are sorted by group and time and hold readings only (no NaN, no codes)."""
     code = np.zeros(len(value), np.int8)
     code[~(np.abs(value) <= bound)] = 1
