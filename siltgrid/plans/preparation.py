@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgrid.operators import gridding, spikes
+from siltgrid.operators import gridding, imputation, spikes
 from siltgrid.session import table
 
 
@@ -31,6 +31,16 @@ def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.unionByName(spikes.implausible_arrays(table(spark, sf_dir, "scn2")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value that was missing and has been filled."""
+    return p5_filled(spark, sf_dir).select("ps_id", "image_ix", "field_name")
+
+
+def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled values with the posterior of each."""
+    return imputation.fill_missing(table(spark, sf_dir, "phuw2"))
+
+
 #: The current version of each reading, for the SQL below.
 CURRENT = """cur AS (
   SELECT ps_id, image_ix, arg_max(struct_pack(d := acq_day, v := ph_uw), coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS r
@@ -47,10 +57,17 @@ used AS (
 SELECT ps_id, CAST(g.slot_ix AS INTEGER) AS slot_ix FROM grid g ANTI JOIN used u USING (ps_id, slot_ix)
 """
 
+P5_FOUND = f"""
+WITH {CURRENT}
+SELECT ps_id, image_ix, 'ph_uw' AS field_name FROM cur WHERE r.v IS NULL OR isnan(r.v) OR r.v IN (-9999, -32768)
+UNION ALL
+SELECT ps_id, image_ix, 'acq_day' AS field_name FROM cur WHERE r.d IS NULL OR r.d < 1
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_flags)}
+    return {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND}
+    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND}
