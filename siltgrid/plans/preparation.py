@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgrid.operators import gridding, imputation, spikes
+from siltgrid.operators import gridding, imputation, spikes, timestamps
 from siltgrid.session import table
 
 
@@ -41,6 +41,16 @@ def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imputation.fill_missing(table(spark, sf_dir, "phuw2"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants of all texts that name a real time; readings against a source's documented convention are left out."""
+    return p7_normalised(spark, sf_dir).where("utc_us is not null and by_convention").select("rec_id", "field_name", "utc_us")
+
+
+def p7_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both texts of every record with layout, reading, instant, posterior and status."""
+    return timestamps.normalise(table(spark, sf_dir, "acq_log"), table(spark, sf_dir, "stacks"), {"acq_day": "acq_day_raw", "master_day": "master_day_raw"})
+
+
 #: The current version of each reading, for the SQL below.
 CURRENT = """cur AS (
   SELECT ps_id, image_ix, arg_max(struct_pack(d := acq_day, v := ph_uw), coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS r
@@ -66,7 +76,7 @@ SELECT ps_id, image_ix, 'acq_day' AS field_name FROM cur WHERE r.d IS NULL OR r.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled)}
+    return {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled, p7_found, p7_normalised)}
 
 
 def oracle_sql() -> dict[str, str]:
