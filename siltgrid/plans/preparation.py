@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgrid.operators import gridding, imputation, spikes, timestamps
+from siltgrid.operators import copies, gridding, imputation, spikes, timestamps
 from siltgrid.session import table
 
 
+def _item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both copies of every item, point by point."""
+    items = table(spark, sf_dir, "item_map")
+    sides = []
+    for name, key in (("mat_items", "mat_key"), ("h5_items", "h5_key")):
+        names = items.select("item", copies.loose_key(F.col(key)).alias("_key")).dropDuplicates()
+        rows = table(spark, sf_dir, name).select(copies.loose_key(F.col(key)).alias("_key"), "ps_id", "val")
+        sides.append(rows.join(names, "_key").select("item", "ps_id", "val"))
+    return copies.compare_copies(*sides, keys=["item", "ps_id"], fields=["val"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows missing on either side, and rows whose values differ."""
+    kind = F.when(F.col("kind") == "only_left", "only_mat").when(F.col("kind") == "only_right", "only_h5").otherwise("differs")
+    return _item_pairs(spark, sf_dir).where("kind <> 'same'").select("item", "ps_id", kind.alias("kind")).distinct()
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: rows on both sides, missing rows, differing rows and the largest difference."""
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    pairs = _item_pairs(spark, sf_dir).groupBy("item").agg(
+        (count("same") + count("differs")).alias("n_both"),
+        count("only_left").alias("n_only_mat"),
+        count("only_right").alias("n_only_h5"),
+        count("differs").alias("n_differs"),
+        F.max(F.abs(F.col("l_val") - F.col("r_val"))).alias("max_abs_diff"),
+    )
+    return table(spark, sf_dir, "item_map").join(pairs, "item", "left")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots without a usable reading, from the regular grid."""
     grid = gridding.regular_grid(table(spark, sf_dir, "ps2"), table(spark, sf_dir, "phuw2"), table(spark, sf_dir, "stacks"), only_empty=True)
@@ -56,6 +86,23 @@ CURRENT = """cur AS (
   SELECT ps_id, image_ix, arg_max(struct_pack(d := acq_day, v := ph_uw), coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS r
   FROM phuw2 WHERE ps_id IS NOT NULL AND image_ix IS NOT NULL GROUP BY ps_id, image_ix)"""
 
+P2_PAIRS = r"""
+WITH m AS (SELECT DISTINCT item, ps_id, CASE WHEN isnan(val) THEN NULL ELSE val END AS v FROM mat_items JOIN item_map i
+             ON lower(regexp_replace(regexp_replace(mat_items.mat_key, '\s', '', 'g'), '^/+', '')) = lower(regexp_replace(regexp_replace(i.mat_key, '\s', '', 'g'), '^/+', ''))),
+h AS (SELECT DISTINCT item, ps_id, CASE WHEN isnan(val) THEN NULL ELSE val END AS v FROM h5_items JOIN item_map i
+             ON lower(regexp_replace(regexp_replace(h5_items.h5_key, '\s', '', 'g'), '^/+', '')) = lower(regexp_replace(regexp_replace(i.h5_key, '\s', '', 'g'), '^/+', ''))),
+pairs AS (
+  SELECT coalesce(m.item, h.item) AS item, coalesce(m.ps_id, h.ps_id) AS ps_id, m.v AS mv, h.v AS hv,
+    CASE WHEN h.item IS NULL THEN 'only_mat' WHEN m.item IS NULL THEN 'only_h5'
+         WHEN (m.v IS NULL) <> (h.v IS NULL) THEN 'differs'
+         WHEN abs(m.v - h.v) > 1e-4 * greatest(1.0, abs(m.v), abs(h.v)) THEN 'differs' ELSE 'same' END AS kind
+  FROM m FULL JOIN h ON m.item = h.item AND m.ps_id = h.ps_id)
+"""
+P2_FOUND = P2_PAIRS + "SELECT DISTINCT item, ps_id, kind FROM pairs WHERE kind <> 'same'"
+P2_REPORT = P2_PAIRS + """SELECT i.item, i.mat_key, i.h5_key, count(*) FILTER (kind IN ('same', 'differs')) AS n_both, count(*) FILTER (kind = 'only_mat') AS n_only_mat,
+  count(*) FILTER (kind = 'only_h5') AS n_only_h5, count(*) FILTER (kind = 'differs') AS n_differs, coalesce(max(abs(mv - hv)), NULL) AS max_abs_diff
+  FROM item_map i LEFT JOIN pairs USING (item) GROUP BY ALL"""
+
 P3_FOUND = f"""
 WITH {CURRENT},
 pts AS (SELECT ps_id, arg_max(stack_id, coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS stack_id FROM ps2 WHERE ps_id IS NOT NULL GROUP BY ps_id),
@@ -76,8 +123,8 @@ SELECT ps_id, image_ix, 'acq_day' AS field_name FROM cur WHERE r.d IS NULL OR r.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled, p7_found, p7_normalised)}
+    return {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled, p7_found, p7_normalised)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND}
+    return {"p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
