@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgrid.operators import copies, gridding, imputation, spikes, timestamps
-from siltgrid.session import table
+from siltgrid.operators import copies, gridding, imputation, near, regions, spikes, timestamps
+from siltgrid.session import latest, table
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current version of each point."""
+    return latest(table(spark, sf_dir, "ps2").where("ps_id is not null"), ["ps_id"], ["stack_id", "lon", "lat"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of points at most 15 m apart, and the areas that contain each point."""
+    points = _places(spark, sf_dir)
+    near_by = near.near_pairs(near.with_positions(points), "ps_id", 15.0)
+    inside = regions.containing_regions(points, table(spark, sf_dir, "areas"), "ps_id")
+    return near_by.select(F.lit("near").alias("rel"), "id_a", "id_b").unionByName(inside.select(F.lit("in").alias("rel"), F.col("area_id").alias("id_a"), F.col("id").alias("id_b")))
 
 
 def _item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +136,7 @@ SELECT ps_id, image_ix, 'acq_day' AS field_name FROM cur WHERE r.d IS NULL OR r.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled, p7_found, p7_normalised)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled, p7_found, p7_normalised)}
 
 
 def oracle_sql() -> dict[str, str]:
