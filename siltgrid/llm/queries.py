@@ -4,8 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltgrid.llm import tokens
-from siltgrid.session import table
+from siltgrid.llm import survivors, tokens
+from siltgrid.session import latest, table
+
+
+def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surviving record and fused fields of every pixel that was taken more than once."""
+    columns = ["stack_id", "patch_id", "az", "rg", "lon", "lat", "d_a", "hgt", "inc", "la", "processed_at"]
+    points = latest(table(spark, sf_dir, "ps2").where("ps_id is not null"), ["ps_id"], columns)
+    scores = latest(table(spark, sf_dir, "select1").where("ps_id is not null"), ["ps_id"], ["coh_ps2"])
+    fields = {"az": 1.0, "rg": 1.0, "d_a": 0.01, "hgt": 1.0, "inc": 0.01, "la": 0.01}
+    return survivors.survivors(points, scores, "ps_id", "stack_id", "patch_id", fields, ["d_a", "hgt", "inc", "la"], "coh_ps2", "processed_at")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_survivors(spark, sf_dir).select("group_id", "best_id")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +26,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_ids": p8_ids}
+    return {f.__name__: f for f in (p6_found, p6_survivors, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
