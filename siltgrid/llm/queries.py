@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltgrid.llm import survivors, tokens
+from siltgrid.llm import mixing, survivors, tokens
 from siltgrid.session import latest, table
 
 
@@ -25,8 +25,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents, how often each is used, and the target and actual share of its source."""
+    chosen, shares = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return chosen.join(shares.select("source", "target_share", "actual_share"), "source")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget, chosen counts and actual share of each source."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found, p6_survivors, p8_ids)}
+    return {f.__name__: f for f in (p6_found, p6_survivors, p8_ids, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
