@@ -76,11 +76,12 @@ def fit(counts: dict[int, int], budget: int, seed: int = 7) -> dict[int, int]:
     lengths = sorted(counts)
     taken = {x: min(counts[x], int(counts[x] * budget / total + draw.random())) for x in lengths}
     left = budget - sum(x * n for x, n in taken.items())
-    reserve = REACH * lengths[-1]
-    while not 0 <= left <= reserve:
+    longest = lengths[-1]
+    reserve, least = REACH * longest, min(longest, budget)  # room for the knapsack to work in
+    while not least <= left <= reserve:
         draw.shuffle(lengths)
         for x in lengths:
-            if left < 0 and taken[x]:
+            if left < least and taken[x]:
                 taken[x] -= 1
                 left += x
             elif left > reserve and taken[x] < counts[x]:
