@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltgrid.llm import mixing, survivors, tokens
+from siltgrid.llm import mixing, sentences, survivors, tokens
 from siltgrid.session import latest, table
 
 
@@ -36,8 +36,13 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of the last character of each sentence of every document."""
+    return sentences.sentence_ends(table(spark, sf_dir, "documents")).select("doc_id", "end_pos")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found, p6_survivors, p8_ids, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p6_found, p6_survivors, p8_ids, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
