@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltgrid.functions.cplx import dot
@@ -34,7 +34,7 @@ def inverse(pairs: list[tuple[int, int]], n_images: int, reference: int = 0, cov
     return out
 
 
-def invert(points: DataFrame, phase: str, matrix: np.ndarray) -> Column:
+def invert(phase: str, matrix: np.ndarray) -> Column:
     """Array column of image phases: one dot product per image, row by row in the JVM."""
     return F.array(*(dot(F.col(phase), row.tolist()) for row in matrix))
 

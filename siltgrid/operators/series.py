@@ -52,7 +52,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa
 def numbers(column: pa.ChunkedArray | pa.Array, dtype, null) -> np.ndarray:
     """A column as NumPy, with `null` in the place of nulls."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.fill_null(null).to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    if column.null_count:
+        column = column.cast(pa.float64()) if isinstance(null, float) else column
+        column = column.fill_null(null)
+    return column.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
 
 
 def groups_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from siltgrid.plans import preparation
+from siltgrid.plans import analysis, preparation
 
 
 def queries() -> dict:
-    return {**preparation.queries()}
+    return {**analysis.QUERIES, **preparation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**preparation.oracle_sql()}
+    return {**analysis.SQL, **preparation.oracle_sql()}
