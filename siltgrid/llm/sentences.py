@@ -50,6 +50,8 @@ _LEAD = re.compile(r"[\s\"'“„‘«‹「『（(\[¿¡\x93\x84\-–—]*")
 
 _KANA, _HAN, _THAI, _DEVA = re.compile("[぀-ヿ]"), re.compile("[㐀-鿿]"), re.compile("[฀-๿]"), re.compile("[ऀ-ॿ]")
 _GREEK, _CYRILLIC, _LATIN = re.compile("[Ͱ-Ͽἀ-῿]"), re.compile("[Ѐ-ӿ]"), re.compile("[A-Za-z]")
+#: Any letter of the scripts that are told apart.
+_BEYOND = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ӿऀ-ॿ฀-๿぀-ヿ㐀-鿿]")
 _CONT = "\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 _MOJIBAKE = re.compile(f"[\xc2-\xf4][{_CONT}]{{1,3}}")
 _HIGH = re.compile("[\xc0-\xff]")
@@ -93,8 +95,8 @@ def repaired(line: str) -> tuple[str, list[int] | None]:
 
 def script(line: str) -> str:
     """'ja', 'zh', 'th', 'hi', 'el', 'ru', 'latin' or '' of a line."""
-    if line.isascii():
-        return "latin" if _LATIN.search(line) else ""
+    if line.isascii() or not _BEYOND.search(line):
+        return "latin" if _LATIN.search(line) or _HIGH.search(line) else ""
     for name, pattern in (("ja", _KANA), ("zh", _HAN), ("th", _THAI), ("hi", _DEVA), ("el", _GREEK), ("ru", _CYRILLIC)):
         if pattern.search(line):
             return name
@@ -180,59 +182,77 @@ def cues(text: str) -> list[list[tuple[int, str]]]:
 
 
 class Line:
-    """A spoken line: its words without markup, dash and speaker, and where they stand."""
+    """A spoken line: its words without markup, dash and speaker, where they stand, and its places that may end a sentence."""
 
-    __slots__ = ("text", "at", "place", "turn", "lang")
+    __slots__ = ("text", "at", "place", "turn", "lang", "marks")
 
-    def __init__(self, text: str, at: int, place, turn: bool, lang: str):
-        self.text, self.at, self.place, self.turn, self.lang = text, at, place, turn, lang
+    def __init__(self, text: str, at: int, place, turn: bool, lang: str, marks):
+        self.text, self.at, self.place, self.turn, self.lang, self.marks = text, at, place, turn, lang, marks
 
     def end(self, k: int) -> int:
         """Place in the stored text of the character before k."""
         return self.at + (self.place[k - 1] if self.place else k - 1)
 
 
+#: Lines kept by a worker with what was read of them; it bounds memory only.
+KEPT = 100_000
+_READ: dict[tuple[str, str | None], tuple | None] = {}
+
+
+def _read(raw: str, page: str | None) -> tuple | None:
+    """(text, start of its words, place, turn, script, marks) of a line, or None if nobody speaks in it."""
+    text, place = (raw, None) if raw.isascii() else view(raw, page)
+    marked = "<" in text or "{" in text
+    if marked:
+        text = _MARKUP.sub(lambda m: "\x01" * len(m[0]), text)
+    i, j = 0, len(text)
+    turn = False
+    while not (i == 0 and text[:1].isalnum() and ":" not in text):
+        while i < j and (text[i].isspace() or text[i] in "\x01\ufeff"):
+            i += 1
+        if m := _DASH.match(text, i):
+            i, turn = m.end(), True
+            continue
+        if ":" in text and (m := _SPEAKER.match(text, i)) and m[1].isupper():
+            i, turn = m.end(), True
+            continue
+        break
+    while j > i and ((c := text[j - 1]).isspace() or c in "\x01\ufeff"):
+        j -= 1
+    if i >= j or not _WORD.search(text, i, j):
+        return None
+    words = text[i:j].replace("\x01", "\u200b") if marked else text[i:j]
+    sc = script(words)
+    text = " " * i + words if i else words
+    ends = _WIDE_END if sc in ("ja", "zh") else _END
+    marks = tuple((m.start(), m.end(), m[0]) for m in ends.finditer(text)) if sc != "th" else ()
+    return text, i, place, turn, sc, marks
+
+
 def spoken(cue: list[tuple[int, str]], latin: str, page: str | None) -> list[Line]:
     """The lines of a cue that belong to sentences; [] for sounds, songs and empty cues."""
     out = []
     for at, raw in cue:
-        text, place = (raw, None) if raw.isascii() else view(raw, page)
-        if "<" in text or "{" in text:
-            text = _MARKUP.sub(lambda m: "\x01" * len(m[0]), text)
-        i, j = 0, len(text)
-        turn = False
-        while True:
-            while i < j and (text[i].isspace() or text[i] in "\x01﻿"):
-                i += 1
-            if m := _DASH.match(text, i):
-                i, turn = m.end(), True
-                continue
-            if ":" in text and (m := _SPEAKER.match(text, i)) and m[1].isupper():
-                i, turn = m.end(), True
-                continue
-            break
-        while j > i and (text[j - 1].isspace() or text[j - 1] in "\x01﻿"):
-            j -= 1
-        if i < j:
-            s = text[:j]
-            sc = script(s[i:])
-            out.append((s, i, at, place, turn, latin if sc == "latin" else sc))
+        key = (raw, page)
+        if key in _READ:
+            got = _READ[key]
+        else:
+            if len(_READ) > KEPT:
+                _READ.clear()
+            got = _READ[key] = _read(raw, page)
+        if got is not None:
+            out.append((at, got))
     if not out:
         return []
-    first, last = out[0][0][out[0][1] :], out[-1][0]
-    whole = "\n".join(x[0][x[1] :] for x in out)
-    if _SUNG.match(first) and (_SUNG.match(last[-1]) or len(_SUNG.findall(whole)) >= 2):
-        return []
-    if first[0] in "[(（［" and last[-1] in "])）］" and _SOUND.fullmatch(whole) and not re.search(r"[\])）］][^\[(（［]+[\[(（［]", whole):
-        return []
-    lines = []
-    for s, i, at, place, turn, lang in out:
-        line = Line(s, at, place, turn, lang or latin)
-        line.text = " " * i + s[i:] if i else s
-        if "\x01" in line.text:
-            line.text = line.text.replace("\x01", "​")
-        lines.append(line)
-    return lines
+    text, i = out[0][1][:2]
+    if text[i] in "[(（［♪♫🎵🎶":
+        first, last = text[i:], out[-1][1][0]
+        whole = "\n".join(x[0][x[1] :] for _, x in out)
+        if _SUNG.match(first) and (_SUNG.match(last[-1]) or len(_SUNG.findall(whole)) >= 2):
+            return []
+        if first[0] in "[(（［" and last[-1] in "])）］" and _SOUND.fullmatch(whole) and not re.search(r"[\])）］][^\[(（［]+[\[(（［]", whole):
+            return []
+    return [Line(text, at, place, turn, latin if sc in ("latin", "") else sc, marks) for at, (text, _, place, turn, sc, marks) in out]
 
 
 def word_before(text: str, k: int) -> str:
@@ -437,12 +457,12 @@ class Cutter:
         out: list[int] = []
         open_at: int | None = None  # end of what is said since the last sentence's end
         flat = [(line, c, i) for c, cue in enumerate(document) for i, line in enumerate(cue)]
-        texts = [[x.text.strip() for x in cue] for cue in document]
+        said = lambda c: [x.text.strip() for x in document[c]]
         for f, (line, c, i) in enumerate(flat):
             text, lang = line.text, line.lang
             follow = flat[f + 1] if f + 1 < len(flat) else None
             same_cue = follow is not None and follow[1] == c
-            if follow is not None and (follow[0].turn or (not same_cue and (lang in ("ja", "zh", "th") or texts[c + 1] == texts[c]))):
+            if follow is not None and (follow[0].turn or (not same_cue and (lang in ("ja", "zh", "th") or said(c + 1) == said(c)))):
                 follow = None
             elif follow is not None and follow[0].lang != lang and not (same_cue or {follow[0].lang, lang} & {""}):
                 follow = None
@@ -458,9 +478,7 @@ class Cutter:
             done = 0
             size = len(text)
             wide = lang in ("ja", "zh")
-            for m in (_WIDE_END if wide else _END).finditer(text):
-                e = m.end()
-                mark = m[0]
+            for begin, e, mark in line.marks:
                 if mark[0] == ";" and lang != "el" or mark[0] in ";" and lang != "el":
                     continue
                 at_end = e >= size
@@ -468,14 +486,14 @@ class Cutter:
                     # inside a token (decimals, addresses, abbreviations), unless a clear mark or an opening one follows
                     if mark[0] in ".…;" or text[e].isalnum() or text[e] in ",-/":
                         continue
-                if wide and not at_end and mark[0] == "." and text[e].isalnum() and m.start() and text[m.start() - 1].isalnum() and len(mark) == 1:
+                if wide and not at_end and mark == "." and begin and text[e].isalnum() and text[begin - 1].isalnum():
                     continue
                 rest = word_after(text, e) if not at_end else ""
                 if not rest and follow is not None:
                     rest = word_after(follow[0].text)
-                core = mark.rstrip("\"'”“’»›」』）)]\x93\x94   ")
-                quote = any(q in mark for q in QUOTES)
-                if self.is_end(lang, text, m.start(), core, quote, rest, line, follow, at_end, wide, mark, e):
+                core = mark if len(mark) == 1 else mark.rstrip("\"'”“’»›」』）)]\x93\x94   ")
+                quote = e - begin > 1 and not QUOTES.isdisjoint(mark)
+                if self.is_end(lang, text, begin, core, quote, rest, line, follow, at_end, wide, mark, e):
                     out.append(line.end(e))
                     done = e
                     open_at = None
