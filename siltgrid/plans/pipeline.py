@@ -139,7 +139,7 @@ def estimate_gamma(points: DataFrame, images: Images, params: Params, patch: str
     before, keep = None, [*points.columns, "gi", "gj"]
     for _ in range(int(params.get("gamma_max_iterations"))):
         cells = filtered_cells(grid_sums(state, images.bperp, patch), params, patch)
-        fitted = _fit(state.join(cells, [patch, "gi", "gj"]).select(*keep, "w", "coh", "f"), images)
+        fitted = _fit(state.drop("f", "residual").join(cells, [patch, "gi", "gj"]).select(*keep, "w", "coh", "f"), images)
         fitted = stored(fitted, "gamma")
         change = fitted.agg(F.sqrt(F.avg((F.col("coh2") - F.col("coh")) ** 2))).first()[0] or 0.0
         counts = np.zeros(100)
