@@ -139,6 +139,24 @@ def delaunay_arcs(points: DataFrame, patch: str, id_column: str, x: str = "x", y
     return points.select(patch, id_column, x, y).groupBy(patch).applyInArrow(one, ARC)
 
 
+def integrate_arcs(arcs: DataFrame, patch: str, difference: str) -> DataFrame:
+    """(patch, node, value array): node values whose differences along arcs are the given arrays, by least squares in each patch.
+
+    All right-hand sides of a patch are solved together; the smallest node of each connected part is 0.
+    """
+    schema = T.StructType([T.StructField("patch", T.LongType()), T.StructField("node", T.LongType()), T.StructField("value", T.ArrayType(T.DoubleType()))])
+
+    def one(table: pa.Table) -> pa.Table:
+        a, b = (table.column(c).to_numpy() for c in "ab")
+        d = np.stack([np.asarray(v, float) for v in table.column(difference).to_pylist()])
+        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+        x = integrate(np.stack([at[: len(a)], at[len(a) :]], 1), np.nan_to_num(d), len(nodes))
+        key = table.column(patch)[0].as_py()
+        return pa.table({"patch": pa.array([key] * len(nodes), pa.int64()), "node": nodes, "value": pa.array(x.tolist(), pa.list_(pa.float64()))})
+
+    return arcs.select(patch, "a", "b", difference).groupBy(patch).applyInArrow(one, schema)
+
+
 def nearest_nodes(grid_shape: tuple[int, int], nodes: np.ndarray) -> np.ndarray:
     """Number of the nearest node of each grid cell; equally near nodes give the lowest number.
 

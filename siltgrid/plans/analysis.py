@@ -760,3 +760,108 @@ def compare_tables(spark, sf):
     b = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice", 1).alias("v"))
     d = difference(a, b, ["k"], "v")
     return d.select("n_left", "n_right", "n_both", *(r6(c).alias(c) for c in ("mean_abs", "max_abs", "rms")))
+
+
+# ---------------------------------------------------------------- kernels that SQL does not express
+
+
+def _coarse(spark, sf) -> DataFrame:
+    """Complex sums of each image in cells of two kilometres."""
+    p = points(spark, sf).where("x is not null and y is not null and not isnan(x) and not isnan(y)").select("ps_id", "stack_id", "x", "y")
+    cells = phasegrid.with_cells(p, ["stack_id"], 2000.0).select("ps_id", "stack_id", "gi", "gj")
+    return phasegrid.accumulate(phases(spark, sf).drop("stack_id").join(cells, "ps_id"), ["stack_id", "image_ix", "gi", "gj"], "ph")
+
+
+def _filtered(spark, sf, f) -> DataFrame:
+    import pyarrow as pa
+
+    def one(t):
+        i, j = (t.column(c).to_numpy() for c in ("gi", "gj"))
+        grid = np.zeros((i.max() + 1, j.max() + 1), complex)
+        grid[i, j] = t.column("re").to_numpy() + 1j * t.column("im").to_numpy()
+        return pa.table({**{c: t.column(c) for c in ("stack_id", "image_ix", "gi", "gj")}, "phase": np.angle(f(grid)[i, j])})
+
+    rows = _coarse(spark, sf).select("stack_id", "image_ix", F.col("gi").cast("int"), F.col("gj").cast("int"), "re", "im")
+    return rows.groupBy("stack_id", "image_ix").applyInArrow(one, "stack_id int, image_ix int, gi int, gj int, phase double")
+
+
+@query()
+def clap_filter(spark, sf):
+    """Each image's grid through the adaptive low-pass filter."""
+    from siltgrid.functions.kernels import clap
+
+    return _filtered(spark, sf, lambda g: clap(g, 2000.0, 24, 8, 16000.0))
+
+
+@query()
+def goldstein_filter(spark, sf):
+    """Each image's grid through the power-spectrum filter."""
+    from siltgrid.functions.kernels import goldstein
+
+    return _filtered(spark, sf, goldstein)
+
+
+@query()
+def unwrap_grid(spark, sf):
+    """Each image's grid unwrapped in space."""
+    from siltgrid.operators.unwrapping import unwrap_images
+
+    return unwrap_images(_coarse(spark, sf).select("stack_id", "image_ix", F.col("gi").cast("int"), F.col("gj").cast("int"), "re", "im"), ["stack_id", "image_ix"])
+
+
+@query()
+def null_histogram(spark, sf):
+    """Coherence that random phases reach, in 100 bins."""
+    from siltgrid.functions.kernels import random_coherence
+
+    counts = random_coherence(np.array(BASELINE[:16]), 1.0, 30_000)
+    return spark.createDataFrame(list(enumerate(counts.tolist())), "bin int, n long")
+
+
+def _triangulated(spark, sf) -> DataFrame:
+    from siltgrid.operators.mesh import delaunay_arcs
+
+    p = points(spark, sf).where("x is not null and y is not null and not isnan(x) and not isnan(y) and patch_id is not null")
+    return delaunay_arcs(p.select((F.col("stack_id").cast("long") * 100000 + F.col("patch_id")).alias("patch"), "ps_id", "x", "y"), "patch", "ps_id")
+
+
+@query()
+def delaunay_arcs(spark, sf):
+    """Edges of the triangulation of each patch of each stack."""
+    return _triangulated(spark, sf)
+
+
+@query()
+def laplacian_integrate(spark, sf):
+    """Look-angle error of points integrated back from its differences along the triangulation's edges."""
+    from siltgrid.operators.mesh import integrate_arcs
+
+    v = estimates(spark, sf).where("k is not null and not isnan(k)").select("ps_id", "k")
+    a = v.select(F.col("ps_id").alias("a"), F.col("k").alias("ka"))
+    b = v.select(F.col("ps_id").alias("b"), F.col("k").alias("kb"))
+    arcs = _triangulated(spark, sf).join(a, "a").join(b, "b").select("patch", "a", "b", F.array(F.col("kb") - F.col("ka")).alias("d"))
+    return integrate_arcs(arcs, "patch", "d")
+
+
+@query()
+def parttime_bootstrap(spark, sf):
+    """Points whose coherence varies little when images are drawn anew."""
+    from siltgrid.plans.pipeline import reject_part_time
+
+    return reject_part_time(_fitted(spark, sf).select("vec_id", "coh", "residual"), "residual", 0.12).select("vec_id", "coh", "coh_std")
+
+
+@query()
+def stack_chain(spark, sf):
+    """The whole chain from candidates to displacement, over the vectors as a stack of 16 images."""
+    from siltgrid.params import Params
+    from siltgrid.plans import pipeline
+
+    e = lambda k: F.col("embedding")[k].cast("double")
+    p = vectors(spark, sf).select(
+        F.col("vec_id").alias("pid"), F.lit(1).alias("patch"), (e(60) * 4000).alias("x"), (e(61) * 4000).alias("y"), (10 + e(60) / 20).alias("lon"), (45 + e(61) / 20).alias("lat"),
+        (0.1 + F.abs(e(62))).alias("d_a"), F.lit(100.0).alias("hgt"), F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double") * 2).alias("ph"),
+    )
+    images = pipeline.Images([737000.0 + 12 * k for k in range(16)], BASELINE[:16], 7)
+    params = Params().set("weed_standard_dev", 10.0).set("clap_low_pass_wavelength", 800.0)
+    return pipeline.run(p, images, params)["export"]
