@@ -72,7 +72,9 @@ def evaluate(group, centre_of, day, value, n_groups, first, period, n_slots, hal
         support = np.where(q > 0, s0 * s0 / q, 0.0)
         spread = s0 * s2 - s1 * s1
         line = (s2 * t0 - s1 * t1) / spread
-        fit = np.where((support >= 2.5) & (spread > 0.05 * s0 * s0), line, t0 / s0)
+        # two readings carry a line, unless both lie so far to one side that it would be drawn out of them
+        lined = (support >= 1.6) & (spread > 0.05 * s0 * s0) & (np.abs(s1) < 1.0 * s0)
+        fit = np.where(lined, line, t0 / s0)
     status = np.where(own > 0, 2, np.where(support >= least_support, 1, 0))
     fit = np.where((status > 0) & (s0 > 0), fit, np.nan)
     return fit, own, support, status
