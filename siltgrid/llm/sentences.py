@@ -45,6 +45,8 @@ _END = re.compile("[.!?…。！？।॥;;\x85]+(?:[   ]?[»›]|[\"'”“
 _JA_QUOTE = re.compile("[。！？…]*[」』]+")
 _WIDE_END = re.compile(f"{_END.pattern}|{_JA_QUOTE.pattern}")
 _WORD = re.compile(r"\w")
+#: One or two capitals with a period.
+_INITIAL = re.compile(r"[^\W\d_a-z]{1,2}\.[,;]?")
 _TOKEN = re.compile(r"[^\s\"“”„«»‹›¿¡()\[\]（）「」『』]+")
 _LEAD = re.compile(r"[\s\"'“„‘«‹「『（(\[¿¡\x93\x84\-–—]*")
 
@@ -305,6 +307,8 @@ def study(line: str, lang: str, n: int, counts: Counter) -> None:
         if x[-1] in ".…" and not x.endswith("..") and x[-1] == ".":
             a, k = plain(x), kind(word_after(y))
             b = plain(y)
+            if _INITIAL.fullmatch(y):
+                k = "lower"  # a period before an initial ends nothing
             counts[lang, DOT_LOWER if k in ("lower", "other") else DOT_DIGIT if k == "digit" else DOT_UPPER, a, ""] += n
             if k == "upper" and b:
                 counts[lang, DOT_PAIR, a, b] += n
@@ -405,8 +409,11 @@ class Model:
                 low = lower.get(w, 0) + digit.get(w, 0)
                 ups = upper.get(w, {})
                 n_up = sum(ups.values())
-                mean = sum(m * score.get(b, 0.0) for b, m in ups.items()) / n_up if n_up else 0.0
-                title = n_up > 0 and mean > -1.2
+                # a title goes before words that are at home in the middle of sentences, or at least at none of many sure starts;
+                # where hardly any start is known, unseen words say nothing
+                seen = sum(m for b, m in ups.items() if b in score or total_start >= 30)
+                mean = sum(m * score.get(b, 0.0) for b, m in ups.items()) / seen if seen else 0.0
+                title = n_up > 0 and seen > 0.3 * n_up and mean > -1.2
                 before = low / n > 0.5 and n >= 3 and log_likelihood(low, n, low_all - low, max(1, all_all - n)) > 3.84
                 if before or title and n >= 3:
                     table[w] = (title, digit.get(w, 0) > 0.02 * n)
@@ -451,7 +458,7 @@ class Cutter:
             return not (len(w) == 1 and w.isupper())
         if k == "digit":
             return not digits
-        return not title
+        return not title and not (_INITIAL.fullmatch(after) and after[:-1].isupper())
 
     def ends(self, document: list[list[Line]]) -> list[int]:
         out: list[int] = []
