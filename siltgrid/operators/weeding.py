@@ -16,8 +16,8 @@ def neighbour_arcs(points: DataFrame, group: list[str], id_column: str, az: str
     A cell holds one point, so a hot cell can't arise; the copies are a constant factor of the points.
     """
     shifts = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(r).alias("r")) for a, r in OFFSETS)))
-    moved = points.select(*group, F.col(id_column).alias("other"), F.col(az).alias("_a"), F.col(rg).alias("_r"), shifts.alias("s"))
-    moved = moved.select(*group, "other", (F.col("_a") + F.col("s.a")).alias(az), (F.col("_r") + F.col("s.r")).alias(rg))
+    moved = points.select(*group, F.col(id_column).alias("other"), F.col(az).alias("_a"), F.col(rg).alias("_r"), shifts.alias("_s"))
+    moved = moved.select(*group, "other", (F.col("_a") + F.col("_s.a")).alias(az), (F.col("_r") + F.col("_s.r")).alias(rg))
     return points.select(*group, F.col(id_column).alias("id"), az, rg).join(moved, [*group, az, rg]).select("id", "other")
 
 
