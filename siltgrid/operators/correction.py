@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgrid.operators.series import groups_of, numbers, whole_groups
+from siltgrid.session import spread
 
 
 def look_angle_error(series: DataFrame, point: str, order: str, phase: str, baseline: str, day: str) -> DataFrame:
@@ -124,7 +125,7 @@ def temporal_low_pass(series: DataFrame, point: str, day: str, phase: str, width
                 low[i:j] = np.divide(w @ np.nan_to_num(p[i:j]), total, out=np.full(j - i, np.nan), where=total > 0)
             yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in chunk.columns), pa.array(low, from_pandas=True)], names=schema.names)
 
-    return series.repartition(point).sortWithinPartitions(point, day).mapInArrow(run, schema)
+    return spread(series, point).sortWithinPartitions(point, day).mapInArrow(run, schema)
 
 
 def spatial_low_pass(points: DataFrame, pairs: DataFrame, value: str, scale: float) -> DataFrame:

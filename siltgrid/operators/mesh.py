@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from siltgrid.session import spread
+
 
 def delaunay(points: np.ndarray) -> np.ndarray:
     """Triangles (n, 3) of distinct points by incremental insertion, along a coarse boustrophedon order.
@@ -136,7 +138,7 @@ def delaunay_arcs(points: DataFrame, patch: str, id_column: str, x: str = "x", y
         a, b = ids[e[:, 0]], ids[e[:, 1]]
         return pa.table({"patch": pa.array([key] * len(e), pa.int64()), "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return points.select(patch, id_column, x, y).groupBy(patch).applyInArrow(one, ARC)
+    return spread(points.select(patch, id_column, x, y), patch).groupBy(patch).applyInArrow(one, ARC)
 
 
 def integrate_arcs(arcs: DataFrame, patch: str, difference: str) -> DataFrame:
@@ -154,7 +156,7 @@ def integrate_arcs(arcs: DataFrame, patch: str, difference: str) -> DataFrame:
         key = table.column(patch)[0].as_py()
         return pa.table({"patch": pa.array([key] * len(nodes), pa.int64()), "node": nodes, "value": pa.array(x.tolist(), pa.list_(pa.float64()))})
 
-    return arcs.select(patch, "a", "b", difference).groupBy(patch).applyInArrow(one, schema)
+    return spread(arcs.select(patch, "a", "b", difference), patch).groupBy(patch).applyInArrow(one, schema)
 
 
 def nearest_nodes(grid_shape: tuple[int, int], nodes: np.ndarray) -> np.ndarray:

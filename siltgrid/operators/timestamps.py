@@ -118,8 +118,8 @@ def candidates(df: DataFrame, text: str, writer: str, zone_name: str, site_zone:
     second = F.when((F.col("layout") == "slashed") & real(y, m, d), _days(y, m, d))
     local = lambda day: F.when(F.col("_clock"), day.cast("long") * 86400000000 + F.col("_of_day"))
     rows = rows.withColumn("_local1", local(first)).withColumn("_local2", local(second))
-    known = _zones()
-    usable = lambda c: F.when(F.col(c).isin(known) | _offset_minutes(F.col(c)).isNotNull(), F.col(c))
+    known = ", ".join(f"'{z}'" for z in _zones())  # names of the time-zone database, a set of fixed size
+    usable = lambda c: F.when(F.expr(f"{c} IN ({known})") | _offset_minutes(F.col(c)).isNotNull(), F.col(c))
     zone = F.when(F.col("_zone") != "", usable("_zone")).otherwise(F.coalesce(usable("_zone_name"), usable("_site_zone")))
     rows = _settled(_settled(rows.withColumn("_z", zone)).withColumn("_minutes", _offset_minutes(F.col("_z"))))
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from siltgrid.functions.kernels import goldstein
 from siltgrid.operators.mesh import grid_arcs, integrate, nearest_nodes
+from siltgrid.session import spread
 
 
 def wrap(x: np.ndarray) -> np.ndarray:
@@ -124,7 +125,7 @@ def unwrap_images(cells: DataFrame, image: list[str], filtered: bool = True) ->
         ph = unwrapped[i - i0, j - j0] + residual
         return pa.table({**{k: table.column(k) for k in image}, "gi": f["gi"].to_numpy(np.int32), "gj": f["gj"].to_numpy(np.int32), "ph": ph})
 
-    return cells.select(*image, "gi", "gj", "re", "im").groupBy(*image).applyInArrow(one, schema)
+    return spread(cells.select(*image, "gi", "gj", "re", "im"), *image).groupBy(*image).applyInArrow(one, schema)
 
 
 def unwrap_arcs_to_nodes(nodes: np.ndarray, phase: np.ndarray, day: np.ndarray, reference: int, grid_shape: tuple[int, int], width: float = 365.0) -> np.ndarray:

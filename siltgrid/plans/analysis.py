@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltgrid.functions import cplx, dates, geo
 from siltgrid.operators import amplitude, coherence, correction, export, merging, near, network, pairs, patches, phasegrid, ranking, topofit, weeding
-from siltgrid.session import latest, table
+from siltgrid.session import latest, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -782,7 +782,7 @@ def _filtered(spark, sf, f) -> DataFrame:
         return pa.table({**{c: t.column(c) for c in ("stack_id", "image_ix", "gi", "gj")}, "phase": np.angle(f(grid)[i, j])})
 
     rows = _coarse(spark, sf).select("stack_id", "image_ix", F.col("gi").cast("int"), F.col("gj").cast("int"), "re", "im")
-    return rows.groupBy("stack_id", "image_ix").applyInArrow(one, "stack_id int, image_ix int, gi int, gj int, phase double")
+    return spread(rows, "stack_id", "image_ix").groupBy("stack_id", "image_ix").applyInArrow(one, "stack_id int, image_ix int, gi int, gj int, phase double")
 
 
 @query()

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from siltgrid.functions import kernels
 from siltgrid.operators import coherence, correction, mesh, network, phasegrid, topofit, unwrapping, weeding
 from siltgrid.params import Params, image_list
-from siltgrid.session import stored
+from siltgrid.session import spread, stored
 
 ARRAY = T.ArrayType(T.DoubleType())
 
@@ -73,7 +73,7 @@ def filtered_cells(sums: DataFrame, params: Params, patch: str = "patch") -> Dat
         out = kernels.clap(grid, cell, int(window * 0.75), window - int(window * 0.75), low, alpha, beta)
         return pa.table({patch: t.column(patch), "img": t.column("img").cast(pa.int32()), "gi": t.column("gi").cast(pa.int32()), "gj": t.column("gj").cast(pa.int32()), "f": np.angle(out[i, j])})
 
-    found = sums.groupBy(patch, "img").applyInArrow(one, schema)
+    found = spread(sums, patch, "img").groupBy(patch, "img").applyInArrow(one, schema)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("img", "f"))), lambda s: s.f)
     return found.groupBy(patch, "gi", "gj").agg(ordered.alias("f"))
 
@@ -105,7 +105,7 @@ def reestimated_cells(sums: DataFrame, wanted: DataFrame, params: Params, patch:
         take = pa.array(at)
         return pa.table({patch: t.column(patch).take(take), **{c: t.column(c).take(take).cast(pa.int32()) for c in ("img", "gi", "gj")}, "f": value})
 
-    found = marked.groupBy(patch, "img").applyInArrow(one, schema)
+    found = spread(marked, patch, "img").groupBy(patch, "img").applyInArrow(one, schema)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("img", "f"))), lambda s: s.f)
     return found.groupBy(patch, "gi", "gj").agg(ordered.alias("f"))
 
