@@ -26,8 +26,9 @@ def has_place(lon: Column, lat: Column) -> Column:
 def with_positions(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """points that have a place, with earth-centred metres ex, ey, ez."""
     lo, la = F.radians(lon), F.radians(lat)
+    kept = [c for c in points.columns if c.lower() not in ("ex", "ey", "ez")]
     return points.where(has_place(F.col(lon), F.col(lat))).select(
-        "*", (F.lit(EARTH) * F.cos(la) * F.cos(lo)).alias("ex"), (F.lit(EARTH) * F.cos(la) * F.sin(lo)).alias("ey"), (F.lit(EARTH) * F.sin(la)).alias("ez")
+        *kept, (F.lit(EARTH) * F.cos(la) * F.cos(lo)).alias("ex"), (F.lit(EARTH) * F.cos(la) * F.sin(lo)).alias("ey"), (F.lit(EARTH) * F.sin(la)).alias("ez")
     )
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -343,6 +343,43 @@ def spatial_noise(points: DataFrame, images: Images, params: Params) -> DataFram
     return mean.select("pid", F.transform("m", lambda v: v - F.col("m")[images.reference]).alias("scn"))
 
 
+def in_reference(params: Params) -> Column:
+    """Is a point in the reference area: the lon/lat box, and within the radius of its centre if there is one."""
+    (lon0, lon1), (lat0, lat1), radius = params.get("ref_lon"), params.get("ref_lat"), params.get("ref_radius")
+    inside = F.lit(True)
+    for c, lo, hi in (("lon", lon0, lon1), ("lat", lat0, lat1)):
+        if np.isfinite(lo):
+            inside &= F.col(c) >= float(lo)
+        if np.isfinite(hi):
+            inside &= F.col(c) <= float(hi)
+    if np.isfinite(radius):
+        x, y = params.get("ref_centre_lonlat")
+        metres = 111319.5
+        d2 = ((F.col("lon") - float(x)) * metres * float(np.cos(np.radians(y)))) ** 2 + ((F.col("lat") - float(y)) * metres) ** 2
+        inside &= d2 <= float(radius) ** 2
+    return inside
+
+
+def referenced(points: DataFrame, params: Params, n: int, column: str = "uw") -> DataFrame:
+    """points with the reference area's mean taken off each image; all points are the reference where the area holds none.
+
+    The means, a number per image, are the only thing that reaches the driver.
+    """
+    inside = in_reference(params)
+    value = lambda k: F.when(~F.isnan(F.col(column)[k]), F.col(column)[k])
+    row = points.agg(*(F.coalesce(F.avg(F.when(inside, value(k))), F.avg(value(k)), F.lit(0.0)) for k in range(n))).first()
+    mean = F.array(*(F.lit(float(v)) for v in row))
+    return points.withColumn(column, F.zip_with(column, mean, lambda a, b: a - b))
+
+
+def deramped_series(points: DataFrame, column: str = "uw") -> DataFrame:
+    """points with a plane taken off each image; x and y in metres."""
+    long = points.select("pid", (F.col("x") / 1000).alias("x"), (F.col("y") / 1000).alias("y"), F.posexplode(column).alias("img", "p"))
+    flat = correction.deramped(long, ["img"], "p")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("img", "p"))), lambda s: s.p)
+    return points.drop(column).join(flat.groupBy("pid").agg(ordered.alias(column)), "pid")
+
+
 def export_points(points: DataFrame, images: Images, corrections: str = "v-dso") -> DataFrame:
     """pid, lon, lat, vel and a displacement column per date in mm: unwrapped phase less what `corrections` names.
 
@@ -405,7 +442,8 @@ def run(points: DataFrame, images: Images, params: Params | None = None, start:
             scn = spatial_noise(with_positions(clean.select("pid", "lon", "lat", "uw")), images, params)
             done[step] = stored(done["scla"].join(scn, "pid"), "scn")
         else:
-            done[step] = export_points(done["scn"], images)
+            last = deramped_series(done["scn"]) if params.get("scla_deramp") == "y" else done["scn"]
+            done[step] = export_points(referenced(last, params, len(images.day)), images)
         if isinstance(done[step], DataFrame) and step != "export" and done[step].isEmpty():
             break
     return done

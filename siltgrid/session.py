@@ -21,6 +21,7 @@ def local_session(name: str = "siltgrid", cores: int | str = "*", shuffle: int =
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -55,3 +55,15 @@ def test_empty_input_stops_early(spark, planted):
 def test_steps_in_order(planted):
     with pytest.raises(ValueError):
         pipeline.run(None, planted[3], start="export", end="gamma")
+
+
+def test_reference_area_and_ramps(spark):
+    rows = [(k, 10.0 + k, 45.0, 100.0 * k, 7.0 * (k % 3), [0.0, 0.5 * k]) for k in range(8)]
+    df = spark.createDataFrame(rows, "pid long, lon double, lat double, x double, y double, uw array<double>")
+    boxed = Params().set("ref_lon", [11.5, 13.5])
+    assert {r.pid: r.uw[1] for r in pipeline.referenced(df, boxed, 2).collect()} == {k: 0.5 * k - 1.25 for k in range(8)}
+    nowhere = Params().set("ref_lon", [50.0, 51.0])
+    assert {r.pid: r.uw[1] for r in pipeline.referenced(df, nowhere, 2).collect()} == {k: 0.5 * k - 1.75 for k in range(8)}
+    near = Params().set("ref_radius", 1000.0).set("ref_centre_lonlat", [12.0, 45.0])
+    assert {r.pid: r.uw[1] for r in pipeline.referenced(df, near, 2).collect()}[2] == 0.0
+    assert all(abs(v) < 1e-9 for r in pipeline.deramped_series(df).collect() for v in r.uw)
