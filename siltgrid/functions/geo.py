@@ -65,3 +65,8 @@ def rotated(points: DataFrame, group: list[str], x: str = "x", y: str = "y", ang
 def to_millimetres(metres: Column) -> Column:
     """Rounded to the millimetre, halves to even."""
     return F.rint(metres * 1000) / 1000
+
+
+def angle_in_radians(degrees: Column) -> Column:
+    """Degrees to radians; 0 stands for no value and stays 0."""
+    return F.when(degrees != 0, F.radians(degrees)).otherwise(degrees)

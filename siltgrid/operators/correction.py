@@ -138,3 +138,23 @@ def spatial_low_pass(points: DataFrame, pairs: DataFrame, value: str, scale: flo
     near = both.join(points.select(F.col("id").alias("other"), F.col(value).alias("v")), "other").select("id", "w", "v")
     own = points.select("id", F.lit(1.0).alias("w"), F.col(value).alias("v"))
     return near.unionByName(own).groupBy("id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("low"))
+
+
+def less_delay(samples: DataFrame, delays: DataFrame, keys: list[str], phase: str, delay: str = "delay") -> DataFrame:
+    """samples less a delay phase where one is known for their keys; the others stay as they are."""
+    known = delays.select(*keys, F.col(delay).alias("_delay"))
+    return samples.join(known, keys, "left").withColumn(phase, F.col(phase) - F.coalesce(F.nanvl("_delay", F.lit(0.0)), F.lit(0.0))).drop("_delay")
+
+
+def from_coarse_grid(points: DataFrame, grid: DataFrame, id_column: str, row: str, column: str, step_row: float, step_column: float, value: str) -> DataFrame:
+    """(id, value) interpolated between the four nodes of a coarse grid (gi, gj, value) around each point.
+
+    Each point asks for its four corners by equi-join on the node; corners the grid lacks leave the others their share.
+    """
+    r, c = F.col(row) / step_row, F.col(column) / step_column
+    fr, fc = r - F.floor(r), c - F.floor(c)
+    corners = [(a, b, (fr if a else 1 - fr) * (fc if b else 1 - fc)) for a in (0, 1) for b in (0, 1)]
+    asked = F.explode(F.array(*(F.struct((F.floor(r) + a).cast("int").alias("gi"), (F.floor(c) + b).cast("int").alias("gj"), w.alias("w")) for a, b, w in corners)))
+    rows = points.select(F.col(id_column).alias("id"), asked.alias("_k")).select("id", "_k.*").where("w > 0")
+    met = rows.join(grid.select("gi", "gj", F.col(value).alias("_v")), ["gi", "gj"])
+    return met.groupBy("id").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias(value))

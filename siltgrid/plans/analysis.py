@@ -762,6 +762,37 @@ def compare_tables(spark, sf):
     return d.select("n_left", "n_right", "n_both", *(r6(c).alias(c) for c in ("mean_abs", "max_abs", "rms")))
 
 
+# ---------------------------------------------------------------- angles, delays, coarse grids
+
+
+@query("SELECT DISTINCT l_discount AS degrees, round(CASE WHEN l_discount <> 0 THEN radians(l_discount) ELSE l_discount END, 9) + 0.0 AS angle FROM lineitem")
+def angle_units(spark, sf):
+    """Degrees to radians with 0 kept."""
+    d = table(spark, sf, "lineitem").select(F.col("l_discount").alias("degrees")).distinct()
+    return d.select("degrees", r6(geo.angle_in_radians(F.col("degrees")), 9).alias("angle"))
+
+
+@query(f"""WITH {PH}, dl AS (SELECT stack_id, unnest(range(0, n_image, 2)) AS image_ix FROM stacks)
+SELECT ps_id, ph.image_ix, round(ph - CASE WHEN dl.image_ix IS NULL THEN 0 ELSE 0.1 * dl.image_ix END, 6) + 0.0 AS ph FROM ph LEFT JOIN dl ON dl.stack_id = ph.stack_id AND dl.image_ix = ph.image_ix""")
+def delay_subtract(spark, sf):
+    """Phases less a delay that is known for every other image."""
+    every = F.explode(F.sequence(F.lit(0), F.col("n_image") - 1, F.lit(2))).alias("image_ix")
+    delays = table(spark, sf, "stacks").select("stack_id", every).withColumn("delay", 0.1 * F.col("image_ix"))
+    return correction.less_delay(phases(spark, sf), delays, ["stack_id", "image_ix"], "ph").select("ps_id", "image_ix", r6("ph").alias("ph"))
+
+
+@query(f"""WITH {PT}, g AS (SELECT a.i AS gi, b.j AS gj, 10.0::DOUBLE * a.i + b.j * b.j AS bperp FROM (SELECT unnest(range(9)) AS i) a, (SELECT unnest(range(9)) AS j) b),
+q AS (SELECT ps_id, az / 1000.0::DOUBLE AS r, rg / 4000.0::DOUBLE AS c FROM pt WHERE az IS NOT NULL AND rg IS NOT NULL),
+k AS (SELECT ps_id, floor(r) + a.i AS gi, floor(c) + b.j AS gj, abs(1 - a.i - (r - floor(r))) * abs(1 - b.j - (c - floor(c))) AS w FROM q, (SELECT unnest(range(2)) AS i) a, (SELECT unnest(range(2)) AS j) b)
+SELECT ps_id AS id, round(sum(w * bperp) / sum(w), 6) + 0.0 AS bperp FROM k JOIN g ON k.gi = g.gi AND k.gj = g.gj WHERE w > 0 GROUP BY ps_id""")
+def baseline_from_grid(spark, sf):
+    """Baseline of each point between the nodes of a coarse grid."""
+    nodes = spark.range(81).select((F.col("id") / 9).cast("int").alias("gi"), (F.col("id") % 9).cast("int").alias("gj"))
+    grid = nodes.withColumn("bperp", 10.0 * F.col("gi") + F.col("gj") * F.col("gj"))
+    pt = points(spark, sf).where("az is not null and rg is not null").select("ps_id", "az", "rg")
+    return correction.from_coarse_grid(pt, grid, "ps_id", "az", "rg", 1000.0, 4000.0, "bperp").withColumn("bperp", r6("bperp"))
+
+
 # ---------------------------------------------------------------- kernels that SQL does not express
 
 
