@@ -845,7 +845,7 @@ def null_histogram(spark, sf):
     """Coherence that random phases reach, in 100 bins."""
     from siltgrid.functions.kernels import random_coherence
 
-    counts = random_coherence(np.array(BASELINE[:16]), 1.0, 30_000)
+    counts = random_coherence(np.array(BASELINE[:16]), 1.0)
     return spark.createDataFrame(list(enumerate(counts.tolist())), "bin int, n long")
 
 

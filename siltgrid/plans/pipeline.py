@@ -135,7 +135,7 @@ def estimate_gamma(points: DataFrame, images: Images, params: Params, patch: str
     """
     state = phasegrid.with_cells(points, [patch], params.get("filter_grid_size"))
     state = stored(state.select("*", F.lit(0.0).alias("k"), F.lit(0.0).alias("c"), F.lit(0.0).alias("coh"), (1 / F.greatest(F.coalesce("d_a", F.lit(1.0)), F.lit(1e-3))).alias("w")), "gamma")
-    null = kernels.random_coherence(np.asarray(images.bperp, float), images.wraps, n=30_000)
+    null = kernels.random_coherence(np.asarray(images.bperp, float), images.wraps)
     before, keep = None, [*points.columns, "gi", "gj"]
     for _ in range(int(params.get("gamma_max_iterations"))):
         cells = filtered_cells(grid_sums(state, images.bperp, patch), params, patch)
