@@ -126,13 +126,16 @@ def integrate(edges: np.ndarray, difference: np.ndarray, n: int, weight: np.ndar
 ARC = T.StructType([T.StructField("patch", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def delaunay_arcs(points: DataFrame, patch: str, id_column: str, x: str = "x", y: str = "y") -> DataFrame:
+def delaunay_arcs(points: DataFrame, patch: str, id_column: str, x: str = "x", y: str = "y", lines: bool = False) -> DataFrame:
     """(patch, a, b): edges of the triangulation of each patch; a patch is a bounded spatial partition with its halo, and
-    points at one place are one node (the smallest id)."""
+    points at one place are one node (the smallest id). lines: points without any triangle are linked in their order."""
 
     def one(table: pa.Table) -> pa.Table:
         f = table.to_pandas().dropna().sort_values(id_column).drop_duplicates([x, y])
         e = edges_of(delaunay(f[[x, y]].to_numpy(float)))
+        if lines and not len(e):
+            order = np.lexsort((f[y].to_numpy(float), f[x].to_numpy(float)))
+            e = np.stack([order[:-1], order[1:]], 1)
         ids = f[id_column].to_numpy(np.int64)
         key = table.column(patch)[0].as_py()
         a, b = ids[e[:, 0]], ids[e[:, 1]]

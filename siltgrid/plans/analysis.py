@@ -894,5 +894,5 @@ def stack_chain(spark, sf):
         (0.1 + F.abs(e(62))).alias("d_a"), F.lit(100.0).alias("hgt"), F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double") * 2).alias("ph"),
     )
     images = pipeline.Images([737000.0 + 12 * k for k in range(16)], BASELINE[:16], 7)
-    params = Params().set("weed_standard_dev", 10.0).set("clap_low_pass_wavelength", 800.0)
+    params = Params().set("clap_low_pass_wavelength", 800.0)
     return pipeline.run(p, images, params)["export"]

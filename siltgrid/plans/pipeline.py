@@ -217,30 +217,47 @@ def reject_part_time(points: DataFrame, residual: str, limit: float) -> DataFram
     return points.mapInArrow(run, schema).where(F.col("coh_std") < limit)
 
 
-def arc_noise(points: DataFrame, arcs: DataFrame, phase: str, images: Images, width: float) -> DataFrame:
-    """(a, b, std, most): noise of each arc's series less a local weighted line around each date.
+def arc_noise(points: DataFrame, arcs: DataFrame, phase: str, images: Images, width: float, dropped: list[int] | None = None) -> DataFrame:
+    """(a, b, std, most): noise of each arc's series less a local weighted line around each date and a slope over the baselines.
 
-    Two equi-joins fetch the ends; the rest is local to the arc.
+    Two equi-joins fetch the ends; the rest is local to the arc, but for the variance of each image over all arcs that
+    weighs the slope: a number per image.
     """
     end = lambda k: points.select(F.col("pid").alias(k), F.col(phase).alias(f"p_{k}"))
     rows = arcs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "p_a", "p_b")
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in "ab"), *(T.StructField(c, T.DoubleType()) for c in ("std", "most"))])
-    day = np.asarray(images.day, float)
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in "ab"), *(T.StructField(c, ARRAY) for c in ("noise", "without"))])
+    used = [k for k in range(len(images.day)) if k not in (dropped or [])]
+    day, b = np.asarray(images.day, float)[used], np.asarray(images.bperp, float)[used]
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            dph = np.exp(1j * (_series(batch.column("p_b"), n) - _series(batch.column("p_a"), n)))
-            _, noise = unwrapping.smooth_in_time(np.nan_to_num(dph), day, width)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(noise.std(1, ddof=1)), pa.array(np.abs(noise).max(1))], names=schema.names)
+            dph = np.exp(1j * (_series(batch.column("p_b"), n) - _series(batch.column("p_a"), n)))[:, used]
+            noise, without = weeding.series_noise(np.nan_to_num(dph), day, width)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), _lists(noise), _lists(without)], names=schema.names)
+
+    found = stored(rows.mapInArrow(run, schema), "arcs")
+    from siltgrid.functions.cplx import dot
 
-    return rows.mapInArrow(run, schema)
+    variance = np.array([v or 1.0 for v in found.agg(*(F.var_samp(F.col("without")[k]) for k in range(len(used)))).first()])
+    weights = b / variance
+    slope = dot(F.col("noise"), (weights / ((weights * b).sum() or 1.0)).tolist())
+    flat = F.zip_with("noise", F.array(*map(F.lit, b.tolist())), lambda v, x: v - F.col("_k") * x)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    mean = total(F.col("_v")) / len(used)
+    deviation = F.sqrt(total(F.transform("_v", lambda v: (v - F.col("_m")) ** 2)) / max(1, len(used) - 1))
+    out = found.withColumn("_k", slope).select("a", "b", flat.alias("_v")).withColumn("_m", mean)
+    return out.select("a", "b", deviation.alias("std"), F.array_max(F.transform("_v", F.abs)).alias("most"))
 
 
-def weed_points(selected: DataFrame, images: Images, params: Params, patch: str = "patch") -> DataFrame:
-    """Selected points without adjacent, low, duplicate and noisy ones; adds ps_std and ps_max."""
+def weed_points(selected: DataFrame, images: Images, params: Params, patch: str = "patch", target: int = weeding.TILE) -> DataFrame:
+    """Selected points without adjacent, low, duplicate and noisy ones; adds ps_std and ps_max.
+
+    Noise is the least over a point's arcs in the triangulation of its tile with halo; tiles of about `target` points are cut
+    anew, whatever the patches are. A point without any arc can't be told from noise and is left out.
+    """
     rows = selected
     if params.get("weed_neighbours") == "y":
         rows = weeding.weed_adjacent(rows, [patch], "pid", "coh2")
@@ -250,13 +267,18 @@ def weed_points(selected: DataFrame, images: Images, params: Params, patch: str
     most_std, most_max = params.get("weed_standard_dev"), params.get("weed_max_noise")
     if most_std >= np.pi and most_max >= np.pi:
         return rows.select("*", F.lit(None).cast("double").alias("ps_std"), F.lit(None).cast("double").alias("ps_max"))
-    numbered = rows.withColumn("_patch", F.col(patch).cast("long"))
-    noise = arc_noise(rows, mesh.delaunay_arcs(numbered, "_patch", "pid").select("a", "b"), "ph", images, params.get("weed_time_win"))
-    each = noise.select(F.col("a").alias("pid"), "std", "most").unionByName(noise.select(F.col("b").alias("pid"), "std", "most"))
-    least = each.groupBy("pid").agg(F.min("std").alias("ps_std"), F.min("most").alias("ps_max"))
-    joined = rows.join(least, "pid", "left")
-    quiet = (F.coalesce("ps_std", F.lit(0.0)) < most_std) & (F.coalesce("ps_max", F.lit(0.0)) < most_max)
-    return stored(joined.where(quiet), "weeded")
+    b = F.array(*map(F.lit, images.bperp))
+    left = F.zip_with("ph", b, lambda p, x: p - F.col("k2") * x)
+    flat = rows.select("pid", F.transform(left, lambda v, i: F.when(i == images.reference, F.col("c2")).otherwise(v)).alias("q"))
+    tiled = stored(weeding.tiles(rows, "pid", target=target), "tiles")
+    found = mesh.delaunay_arcs(tiled, "tile", "pid", lines=True).withColumnRenamed("patch", "tile")
+    ends = found.select("tile", F.explode(F.array("a", "b")).alias("pid"), "a", "b")
+    ends = stored(ends.join(tiled.where("home").select("tile", "pid"), ["tile", "pid"]).select("pid", "a", "b"), "arcs")
+    noise = arc_noise(flat, ends.select("a", "b").distinct(), "q", images, params.get("weed_time_win"), image_list(params.get("drop_ifg_index"), len(images.day)))
+    least = ends.join(noise, ["a", "b"]).groupBy("pid").agg(F.min("std").alias("ps_std"), F.min("most").alias("ps_max"))
+    inf = F.lit(float("inf"))
+    quiet = (F.coalesce("ps_std", inf) < most_std) & (F.coalesce("ps_max", inf) < most_max)
+    return stored(rows.join(least, "pid", "left").where(quiet), "weeded")
 
 
 def correct_phase(points: DataFrame, images: Images) -> DataFrame:
