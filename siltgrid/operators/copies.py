@@ -8,14 +8,20 @@ without leaving the JVM; only keys with several go to the assignment.
 Defined cases: null equals NaN; a null key is a key like any other; equal infinities are equal and any other pair with an
 infinity differs; numbers differ beyond tolerance * max(1, |a|, |b|); exact ties of the assignment go to the first
 rows in field order; an empty copy leaves every row of the other missing. Keys with more than BLOCK leftover
-rows on a side are paired in blocks of BLOCK rows along their field order, so a key with a third of all rows is
-spread over tasks; pairs are then of least cost within their block, and every row is still reported once.
+rows on a side are first swept along their first field, over the whole key: rows equal within tolerance cancel, as many as can
+with one field. What is left differs, and is paired in blocks of BLOCK rows along its field order; with one field all such pairs
+cost the same, so the whole is of least cost. With several fields the sweep takes the first equal row it meets, and rows that agree in
+some fields are paired at least cost within their block only. A key is swept as one sorted stream, in bounded memory.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from math import isinf
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +88,70 @@ def differs(a: Column, b: Column, tolerance: float) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() != b.isNull()).when(finite, F.abs(a - b) > tolerance * size).otherwise(a != b)
 
 
+def _equal(a: float | None, b: float | None, tolerance: float) -> bool:
+    if a is None or b is None:
+        return a is b
+    return a == b if isinf(a) or isinf(b) else abs(a - b) <= tolerance * max(1.0, abs(a), abs(b))
+
+
+def swept(rows: DataFrame, keys: list[str], fields: list[str], tolerance: float) -> DataFrame:
+    """keys, l_<field>, r_<field>, _kind ('same', 'l', 'r'): rows (keys, fields, _side) matched with one equal within tolerance, or alone.
+
+    Each key is a stream sorted by the first field. A row takes the earliest waiting row of the other side; what a
+    tolerance has passed can't match any more. With one field that is the largest number of matches.
+    """
+    values = [f"{s}_{c}" for s in "lr" for c in fields]
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(v, T.DoubleType()) for v in values), T.StructField("_kind", T.StringType())])
+    nothing = (None,) * len(fields)
+
+    def run(batches):
+        waiting: dict[str, deque] = {"l": deque(), "r": deque()}
+        last, out, types = None, [], None
+
+        def alone(key, side, v):
+            out.append((*key, *(v if side == "l" else nothing), *(v if side == "r" else nothing), side))
+
+        def expire(side, first):
+            while waiting[side] and not _equal(waiting[side][0][0], first, tolerance):
+                alone(last, side, waiting[side].popleft())
+
+        def end():
+            for side in "lr":
+                while waiting[side]:
+                    alone(last, side, waiting[side].popleft())
+
+        def batch_of():
+            columns = list(zip(*out))
+            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
+            out.clear()
+            return found
+
+        for batch in batches:
+            types = [*(batch.schema.field(k).type for k in range(len(keys))), *[pa.float64()] * len(values), pa.string()]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key, v, side = row[: len(keys)], row[len(keys) : -1], row[-1]
+                if key != last:
+                    end()
+                    last = key
+                other = "r" if side == "l" else "l"
+                expire("l", v[0])
+                expire("r", v[0])
+                for at, w in enumerate(waiting[other]):
+                    if all(_equal(x, y, tolerance) for x, y in zip(v[1:], w[1:])):
+                        del waiting[other][at]
+                        out.append((*key, *(v if side == "l" else w), *(w if side == "l" else v), "same"))
+                        break
+                else:
+                    waiting[side].append(v)
+                if len(out) >= 20_000:
+                    yield batch_of()
+        end()
+        if out:
+            yield batch_of()
+
+    return rows.select(*keys, *fields, "_side").repartition(*keys).sortWithinPartitions(*keys, *fields).mapInArrow(run, schema)
+
+
 def compare_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], tolerance: float = 1e-4, repeats: str = "once") -> DataFrame:
     """Paired rows of two copies: keys, kind ('same', 'differs', 'only_left', 'only_right'), l_<field>, r_<field>, d_<field>, n.
 
@@ -119,6 +189,14 @@ def compare_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: l
     left_over = rows.where("_l > 0 or _r > 0").alias("x").join(many.alias("m"), match, "left_semi")
     # a row's multiplicity is spelt out: each copy is one row to pair
     left_over = left_over.withColumn("_side", F.when(F.col("_l") > 0, "l").otherwise("r")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_l", "_r"))))
+    large = many.where((F.col("nl") > BLOCK) | (F.col("nr") > BLOCK))
+    if not large.isEmpty():
+        of = left_over.select(*keys, *fields, "_side", "_copy").alias("x")
+        found = stored(swept(of.join(large.alias("m"), match, "left_semi"), keys, fields, tolerance), "swept")
+        matched = found.where("_kind = 'same'").select(*keys, F.lit("same").alias("kind"), *values, *(F.lit(0).alias(f"d_{c}") for c in fields), F.lit(1).cast("long").alias("n"))
+        out = out.unionByName(matched)
+        rest = found.where("_kind <> 'same'").select(*keys, *(F.coalesce(f"l_{c}", f"r_{c}").alias(c) for c in fields), F.col("_kind").alias("_side"), F.lit(1).cast("long").alias("_copy"))
+        left_over = of.join(large.alias("m"), match, "left_anti").unionByName(rest)
     ranked = distributed_rank(left_over.select(*keys, *fields, "_side", "_copy"), [*keys, "_side"], [*fields, "_copy"])
     blocks = ranked.withColumn("_block", F.floor(F.col("rank") / BLOCK)).drop("rank", "_copy")
     schema = T.StructType(
