@@ -19,7 +19,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -431,6 +431,68 @@ class Model:
             quoted = get(QUOTED)
             self.reports[lang] = {w for w, n in quoted.items() if n >= 2 and n > start.get(w, 0)}
 
+    @classmethod
+    def of(cls, rows) -> Model:
+        """The model from rows of decided()."""
+        m = cls([])
+        for lang, what, a, b, title, digits in rows:
+            if what == "word":
+                m.abbreviations.setdefault(lang, {})[a] = (bool(title), bool(digits))
+            elif what == "pair":
+                m.pairs.setdefault(lang, set()).add((a, b))
+            else:
+                m.reports.setdefault(lang, set()).add(a)
+        return m
+
+
+def _ratio(k1, n1, k2, n2) -> Column:
+    """log_likelihood on columns."""
+    share = lambda k, n: F.when(n != 0, k / n).otherwise(F.lit(0.0))
+    bound = lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    part = lambda k, n, p: k * F.log(bound(p)) + (n - k) * F.log(1 - bound(p))
+    p = share(k1 + k2, n1 + n2)
+    return 2 * (part(k1, n1, share(k1, n1)) + part(k2, n2, share(k2, n2)) - part(k1, n1, p) - part(k2, n2, p))
+
+
+def decided(counts: DataFrame) -> DataFrame:
+    """(lang, what, a, b, title, digits) of what Model decides from all counts, those met once too: abbreviations ('word'), word pairs ('pair'),
+    report words ('report'). Totals, scores and tests are aggregations and joins; only what passes is left.
+    """
+    of = lambda *kinds: counts.where(F.col("kind").isin(*kinds))
+    total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    seen = of(INNER, START).groupBy("lang", "a").agg(total(INNER).alias("inner"), total(START).alias("start"))
+    sums = seen.groupBy("lang").agg(F.sum("inner").alias("ti"), F.sum("start").alias("ts"))
+    sums = of(DOT_LOWER, DOT_DIGIT, DOT_PAIR, PAIR).select("lang").distinct().join(sums, "lang", "left")
+    sums = sums.select("lang", *(F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)).alias(c) for c in ("ti", "ts")))
+    odds = seen.join(sums.select("lang", "ti", "ts"), "lang")
+    odds = odds.select("lang", F.col("a").alias("b"), "inner", "start", F.log((F.col("inner") / F.col("ti") + 1e-4) / (F.col("start") / F.col("ts") + 1e-4)).alias("score"))
+
+    ups = of(DOT_PAIR).join(odds.select("lang", "b", "score"), ["lang", "b"], "left").join(sums.select("lang", "ts"), "lang")
+    known = F.when(F.col("score").isNotNull() | (F.col("ts") >= 30), F.col("n")).otherwise(0)
+    ups = ups.groupBy("lang", "a").agg(F.sum("n").alias("up"), F.sum(known).alias("seen"), F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))).alias("sum"))
+    dots = of(DOT_LOWER, DOT_DIGIT).groupBy("lang", "a").agg(total(DOT_LOWER).alias("lower"), total(DOT_DIGIT).alias("digit"))
+    words = dots.join(ups, ["lang", "a"], "full").na.fill(0).withColumn("low", F.col("lower") + F.col("digit")).withColumn("n", F.col("low") + F.col("up"))
+    words = words.join(words.groupBy("lang").agg(F.sum("low").alias("low_all"), F.sum("n").alias("all")), "lang")
+    mean = F.when(F.col("seen") > 0, F.col("sum") / F.col("seen")).otherwise(0.0)
+    title = (F.col("up") > 0) & (F.col("seen") > 0.3 * F.col("up")) & (mean > -1.2)
+    apart = _ratio(F.col("low"), F.col("n"), F.col("low_all") - F.col("low"), F.greatest(F.lit(1), F.col("all") - F.col("n")))
+    before = (F.col("low") / F.col("n") > 0.5) & (apart > 3.84)
+    words = words.where((F.col("a") != "##") & (F.col("n") >= 3) & (before | title))
+    out = words.select("lang", F.lit("word").alias("what"), "a", F.lit("").alias("b"), title.alias("title"), (F.col("digit") > 0.02 * F.col("n")).alias("digits"))
+
+    no = F.lit(False)
+    rows = lambda df, what, a, b: df.select("lang", F.lit(what).alias("what"), a.alias("a"), b.alias("b"), no.alias("title"), no.alias("digits"))
+    pairs = of(PAIR)
+    left = pairs.groupBy("lang", "a").agg(F.sum("n").alias("left"))
+    pairs = pairs.where("n >= 2").join(left, ["lang", "a"]).join(odds.select("lang", "b", "inner"), ["lang", "b"], "left").join(sums.select("lang", "ti"), "lang")
+    tied = _ratio(F.col("n"), F.col("left"), F.coalesce("inner", F.lit(0)) - F.col("n"), F.greatest(F.lit(1), F.col("ti") - F.col("left")))
+    out = out.unionByName(rows(pairs.where(tied > 3.84), "pair", F.col("a"), F.col("b")))
+    numbers = of(DOT_PAIR).where("a = '##' and n >= 3").join(odds.select("lang", "b", "inner", "start"), ["lang", "b"], "left")
+    numbers = numbers.where(F.coalesce("inner", F.lit(0)) + F.coalesce("start", F.lit(0)) < F.col("n"))
+    out = out.unionByName(rows(numbers, "pair", F.lit("##."), F.col("b")))
+    quoted = of(QUOTED).where("n >= 2").join(seen.select("lang", "a", "start"), ["lang", "a"], "left").where(F.col("n") > F.coalesce("start", F.lit(0)))
+    return out.unionByName(rows(quoted, "report", F.col("a"), F.lit("")))
+
 
 # ---------------------------------------------------------------- cutting
 
@@ -588,9 +650,8 @@ def sentence_ends(documents: DataFrame, id_column: str = "doc_id", text: str = "
     """
     spark = documents.sparkSession
     counts = stored(learn(documents, text, lang), "sentence-counts") if counts is None else counts
-    # pairs met once carry no evidence, and no other single count decides anything
-    rows = counts.where("n >= 2").toPandas().itertuples(index=False, name=None)
-    model = spark.sparkContext.broadcast(Model(rows))
+    rows = decided(counts).toPandas().itertuples(index=False, name=None)
+    model = spark.sparkContext.broadcast(Model.of(rows))
     schema = T.StructType([documents.schema[id_column], T.StructField("sentence_ix", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
     def run(batches):
