@@ -508,13 +508,13 @@ def _patched(spark, sf):
     return patches.assign(pt, BOUNDS).join(e, "ps_id", "left")
 
 
-@query(f"""WITH {MRG}, w AS (SELECT * FROM pp QUALIFY row_number() OVER (PARTITION BY ps_id ORDER BY CASE WHEN is_inner THEN 0 ELSE 1 END, patch) = 1)
+@query(f"""WITH {MRG}, w AS (SELECT * FROM pp QUALIFY row_number() OVER (PARTITION BY stack_id, az, rg ORDER BY CASE WHEN is_inner THEN 0 ELSE 1 END, patch, coalesce(coh, -1e308) DESC, ps_id) = 1)
 SELECT ps_id, az, rg, patch, is_inner FROM w QUALIFY row_number() OVER (PARTITION BY stack_id, lon, lat ORDER BY coalesce(coh, -1e308) DESC, ps_id) = 1""")
 def merge_no_resample(spark, sf):
     return merging.merge_points(_patched(spark, sf), ["stack_id"], "coh", "ps_id").select("ps_id", "az", "rg", "patch", "is_inner")
 
 
-@query(f"""WITH {MRG}, q AS (SELECT *, least(greatest(coh, 0), 1 - 1e-6) AS cc FROM pp WHERE is_inner AND coh IS NOT NULL),
+@query(f"""WITH {MRG}, q AS (SELECT *, least(greatest(coh, 0), {merging.attainable_coherence()!r}) AS cc FROM pp WHERE is_inner AND coh IS NOT NULL),
 c AS (SELECT stack_id, patch, min(y) AS y0, min(x) AS x0 FROM q GROUP BY ALL),
 s AS (SELECT q.stack_id, q.patch, ceil((y - y0 + 1e-9) / 500) AS ci, ceil((x - x0 + 1e-9) / 500) AS cj, lon, lat, CASE WHEN cc > 0 THEN 1 / (1 / (cc * cc) - 1) ELSE 0 END AS snr FROM q JOIN c ON q.stack_id = c.stack_id AND q.patch = c.patch)
 SELECT stack_id, patch, CAST(ci AS INTEGER) AS ci, CAST(cj AS INTEGER) AS cj, count(*) AS n, round(avg(lon), 7) + 0.0 AS lon, round(avg(lat), 7) + 0.0 AS lat,
