@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -44,18 +45,39 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests, local runs) is a temporary folder made and set.
+    Only where the session names none and runs on this machine alone (tests, local runs) is a temporary folder made and set; on a cluster
+    that is an error, as what an executor writes to its own disk no other can read.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         there = checkpoint.get() if checkpoint.isDefined() else None
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("siltgrid needs a folder that all executors share: set spark.checkpoint.dir")
         there = "file://" + tempfile.mkdtemp(prefix="siltgrid-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; removed when the program ends, if Spark still runs then."""
+    context = spark.sparkContext
+    if not getattr(context, "_siltgrid_scratch", None):
+        context._siltgrid_scratch = f"{shared_folder(spark)}/siltgrid/{context.applicationId}"
+        atexit.register(lambda: discard(spark) if context._jsc is not None else None)
+    return context._siltgrid_scratch
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove every table this application has stored; results that were not written elsewhere can't be read afterwards."""
+    context = spark.sparkContext
+    there = getattr(context, "_siltgrid_scratch", None)
+    if there:
+        path = context._jvm.org.apache.hadoop.fs.Path(there)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and return the written table.
 
@@ -63,7 +85,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     column pruning and pushed filters.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siltgrid/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

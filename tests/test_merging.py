@@ -52,6 +52,6 @@ def test_cells_are_weighted_by_their_residuals(spark):
 
 
 def test_weight_floor(spark):
-    rows = [(1, 0.0, 0.0, 0.5, 0.0, [3.0, -3.0, 0.5, -1.0]), (2, 100.0, 0.0, 0.5, 0.0, [0.0, 0.0, 0.0, 0.0])]
+    rows = [(1, 0.0, 0.0, 0.5, 0.0, [3.0, -3.0, 0.5, -1.0]), (2, 90.0, 0.0, 0.5, 0.0, [0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "id int, x double, y double, coh double, c double, res array<double>").selectExpr("*", "1 as patch")
     assert [r.cj for r in merging.resample(df, ["patch"], 50.0, "coh", [], 1.0, "res", "c", True).collect()] == [2]
