@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgrid.operators.series import by_source, current, groups_of, numbers, whole_groups
-from siltgrid.operators.spikes import NO_DATA, _dense, _median
+from siltgrid.operators.spikes import NO_DATA, _dense, _median, like_lengths
 from siltgrid.session import stored
 
 FIELDS = ("image", "day", "level", "before", "after")
@@ -32,6 +32,8 @@ PAIRS = [(a, b) for a in range(5) for b in range(a + 1, 5)]
 #: Bins of a standardised level: edges from -6 to 6, and a tail on either side.
 EDGES = np.round(np.arange(-6, 6.01, 0.25), 2)
 LEVELS = len(EDGES) + 1
+#: Cells of a table of messages; it bounds memory only.
+CELLS = 4_000_000
 #: Cells of a standardised level from which a bin's median is read.
 FINE = 0.01
 
@@ -68,16 +70,14 @@ def image_code(stack: np.ndarray, image: np.ndarray) -> np.ndarray:
     return np.where(stack >= 0, stack * 65536 + image, -1)
 
 
-def encode(group, place, n, value) -> tuple[np.ndarray, ...]:
-    """Level, level before and level after of each reading (-1: none), and each source's median and deviation."""
-    y = np.where(np.isfinite(value) & ~np.isin(value, NO_DATA) & (np.abs(value) <= 500), value, np.nan)
-    (m,) = _dense(group, place, n, y)
+def _encode(m: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of left-packed rows: level, level before and level after, standardised values, median and deviation of each row."""
+    n, width = m.shape
     median = np.nan_to_num(_median(m), nan=0.0)
     deviation = 1.4826 * _median(np.abs(m - median[:, None]))
     deviation = np.where(np.isnan(deviation), 1.0, np.maximum(deviation, 1e-3))
     z = (m - median[:, None]) / deviation[:, None]
     level = np.where(np.isnan(z), -1, np.digitize(np.nan_to_num(z), EDGES))
-    width = level.shape[1]
     at = np.broadcast_to(np.arange(width), level.shape)
     before = np.maximum.accumulate(np.where(level >= 0, at, -1), 1)
     before = np.c_[np.full(n, -1), before[:, :-1]]
@@ -85,7 +85,27 @@ def encode(group, place, n, value) -> tuple[np.ndarray, ...]:
     after = np.c_[after[:, 1:], np.full(n, width)]
     lb = np.where(before >= 0, np.take_along_axis(level, before.clip(0), 1), -1)
     la = np.where(after < width, np.take_along_axis(level, after.clip(0, width - 1), 1), -1)
-    return level[group, place], lb[group, place], la[group, place], z[group, place], median, deviation
+    return level, lb, la, z, median, deviation
+
+
+def encode(start: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Level, level before and level after of each reading (-1: none), its standardised value, and each source's median and deviation.
+
+    Sources start at `start`; those of like length are taken together, so memory follows the readings.
+    """
+    y = np.where(np.isfinite(value) & ~np.isin(value, NO_DATA) & (np.abs(value) <= 500), value, np.nan)
+    sizes = np.diff(np.r_[start, len(value)])
+    codes = [np.full(len(y), -1, np.int64) for _ in range(3)]
+    z, median, deviation = np.full(len(y), np.nan), np.zeros(len(start)), np.ones(len(start))
+    for of in like_lengths(sizes):
+        row = np.repeat(np.arange(len(of)), sizes[of])
+        place = np.arange(len(row)) - np.repeat(np.cumsum(np.r_[0, sizes[of][:-1]]), sizes[of])
+        at = start[of][row] + place
+        (m,) = _dense(row, place, len(of), y[at])
+        *found, zm, median[of], deviation[of] = _encode(m)
+        for into, f in zip([*codes, z], [*found, zm]):
+            into[at] = f[row, place]
+    return *codes, z, median, deviation
 
 
 class Counts:
@@ -135,10 +155,10 @@ def _study(batches):
     counts = Counts()
     for chunk in whole_groups(batches):
         ids = numbers(chunk["ps_id"], np.int64, 0)
-        start, group, place = groups_of(ids)
+        start, group, _ = groups_of(ids)
         image, stack = numbers(chunk["image_ix"], np.int64, 0), numbers(chunk["stack_id"], np.int64, -1)
         day, value = numbers(chunk["acq_day"], np.int64, 0), numbers(chunk["ph_uw"], np.float64, np.nan)
-        level, before, after, z, median, deviation = encode(group, place, len(start), value)
+        level, before, after, z, median, deviation = encode(start, value)
         codes = [image_code(stack, image), np.where(day >= 1, day, -1), level, before, after]
         for k, (i, j) in enumerate(PAIRS):
             ok = (codes[i] >= 0) & (codes[j] >= 0)
@@ -190,24 +210,71 @@ def spanning_tree(weight: dict[int, float]) -> list[int]:
     return tree
 
 
+class Table:
+    """Smoothed joint counts of a field `to` (rows) and a field `source` (columns), held sparse: every cell has `eps` more than is kept."""
+
+    def __init__(self, to: np.ndarray, source: np.ndarray, n: np.ndarray, shape: tuple[int, int], smoothing: float):
+        self.shape, self.eps = shape, smoothing / (shape[0] * shape[1])
+        self.total = np.bincount(to, n, shape[0]) + self.eps * shape[1]
+        order = np.lexsort((to, source))
+        self.to, self.share = to[order], (n / self.total[to])[order]
+        self.start = np.searchsorted(source[order], np.arange(shape[1] + 1))
+        by = np.lexsort((source, to))
+        self.row, self.first = np.unique(to[by], return_index=True)
+        self.column, self.weight = source[by], (n / self.total[to])[by]
+
+    def dense(self) -> np.ndarray:
+        m = np.full(self.shape, self.eps)
+        column = np.repeat(np.arange(self.shape[1]), np.diff(self.start))
+        m[self.to, column] += self.share * self.total[self.to]
+        return m
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """P(source is at | to) for each at, over all of `to`."""
+        out = np.tile(self.eps / self.total, (len(at), 1))
+        size = self.start[at + 1] - self.start[at]
+        row = np.repeat(np.arange(len(at)), size)
+        k = np.repeat(self.start[at], size) + np.arange(len(row)) - np.repeat(np.cumsum(np.r_[0, size[:-1]]), size)
+        out[row, self.to[k]] += self.share[k]
+        return out
+
+    def sum_over(self, belief: np.ndarray) -> np.ndarray:
+        """Sum over the source of belief times P(source | to)."""
+        out = belief.sum(1, keepdims=True) * (self.eps / self.total)
+        step = max(1, CELLS // max(1, len(self.column)))
+        for lo in range(0, len(belief), step):
+            part = belief[lo : lo + step][:, self.column] * self.weight
+            if part.shape[1]:
+                out[lo : lo + step, self.row] += np.add.reduceat(part, self.first, axis=1)
+        return out
+
+
 class Tree:
-    """Conditional tables along the edges of the dependency tree, and message passing on them."""
+    """Conditional tables along the edges of the dependency tree, and message passing on them.
+
+    Tables hold the pairs that were seen, so they grow with the images and days and not with the product of the two.
+    """
 
     def __init__(self, edges: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], smoothing: float = 0.05):
         self.domain: dict[int, np.ndarray] = {}
         for pair, (a, b, _) in edges.items():
             for field, codes in zip(PAIRS[pair], (a, b)):
                 self.domain[field] = np.union1d(self.domain.get(field, np.empty(0, np.int64)), codes)
-        self.joint, self.neighbours = {}, {}
+        self.tables: dict[tuple[int, int], Table] = {}
+        self.neighbours: dict[int, list[int]] = {}
         for pair, (a, b, n) in edges.items():
             i, j = PAIRS[pair]
-            m = np.zeros((len(self.domain[i]), len(self.domain[j])), np.float64)
-            m[np.searchsorted(self.domain[i], a), np.searchsorted(self.domain[j], b)] = n
-            m += smoothing / m.size
-            self.joint[i, j], self.joint[j, i] = m, m.T
+            x, y = np.searchsorted(self.domain[i], a), np.searchsorted(self.domain[j], b)
+            shape = (len(self.domain[i]), len(self.domain[j]))
+            self.tables[i, j], self.tables[j, i] = Table(x, y, n, shape, smoothing), Table(y, x, n, shape[::-1], smoothing)
             self.neighbours.setdefault(i, []).append(j)
             self.neighbours.setdefault(j, []).append(i)
 
+    @property
+    def joint(self) -> dict[tuple[int, int], np.ndarray]:
+        """The tables written out, for small domains."""
+        return {pair: t.dense() for pair, t in self.tables.items()}
+
     def _place(self, field: int, codes: np.ndarray) -> np.ndarray:
         """Places of codes in a field's domain; -1 where unseen or missing."""
         d = self.domain[field]
@@ -216,24 +283,21 @@ class Tree:
 
     def _message(self, source: int, to: int, codes: np.ndarray) -> np.ndarray:
         """What the subtree of `source` says of `to`: rows by the domain of `to`."""
-        table = self.joint[to, source]
-        given = table / table.sum(1, keepdims=True)  # source given to
+        table = self.tables[to, source]
         at = self._place(source, codes[:, source])
-        belief = None
-        for k in self.neighbours[source]:
-            if k != to:
-                m = self._message(k, source, codes)
-                belief = m if belief is None else belief * m
-        out = given.T[at.clip(0)]
-        hidden = np.flatnonzero(at < 0)
-        if len(hidden):
-            out[hidden] = 1.0 if belief is None else belief[hidden] @ given.T
+        out = np.ones((len(codes), len(self.domain[to])))
+        seen, hidden = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        if len(seen):
+            out[seen] = table.of(at[seen])
+        others = [k for k in self.neighbours[source] if k != to]
+        if len(hidden) and others:
+            belief = np.prod([self._message(k, source, codes[hidden]) for k in others], axis=0)
+            out[hidden] = table.sum_over(belief)
         return out / out.max(1, keepdims=True)
 
     def posterior(self, field: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mode and its posterior for each row; codes holds -1 where a field is missing."""
-        first = self.neighbours[field][0]
-        p = np.broadcast_to(self.joint[field, first].sum(1), (len(codes), len(self.domain[field]))).copy()
+        p = np.tile(self.tables[field, self.neighbours[field][0]].total, (len(codes), 1))
         for k in self.neighbours[field]:
             p *= self._message(k, field, codes)
             p /= p.max(1, keepdims=True)
@@ -241,6 +305,10 @@ class Tree:
         mode = p.argmax(1)
         return self.domain[field][mode], p[np.arange(len(p)), mode]
 
+    def rows_at_once(self) -> int:
+        """Rows whose messages fit into CELLS cells."""
+        return max(1, CELLS // max((len(d) for d in self.domain.values()), default=1))
+
 
 def bin_medians(level: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Median of each level bin from its fine cells; NaN for empty bins."""
@@ -256,8 +324,8 @@ def bin_medians(level: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarra
 def fill_missing(readings: DataFrame) -> DataFrame:
     """Each missing value of phuw2-like readings (ps_id, image_ix, stack_id, acq_day, ph_uw, loaded_at), filled and marked.
 
-    What reaches the driver are the counts of the tree's four edges: at most (images of all stacks) x LEVELS cells
-    and as many image-day pairs, a size set by the dimension tables and not by the readings.
+    What reaches the driver, and every executor once as a broadcast, are the counts of the tree's four edges: at most (images
+    of all stacks) x LEVELS cells and the image-day pairs that occur, a size set by the dimension tables and not by the readings.
     """
     rows = current(readings, "ps_id", "image_ix", ["stack_id", "acq_day", "ph_uw"])
     rows = rows.select("ps_id", F.col("image_ix").cast("int"), F.col("stack_id").cast("int"), F.col("acq_day").cast("long"), F.col("ph_uw").cast("double"))
@@ -266,18 +334,18 @@ def fill_missing(readings: DataFrame) -> DataFrame:
     tree = spanning_tree(mutual_information(counts))
     got = counts.where(F.col("pair").isin([-1, *tree])).toPandas()
     part = lambda p: tuple(got[got.pair == p][c].to_numpy() for c in ("a", "b", "n"))
-    model, medians = Tree({p: part(p) for p in tree}), bin_medians(*part(-1))
+    shared = readings.sparkSession.sparkContext.broadcast((Tree({p: part(p) for p in tree}), bin_medians(*part(-1))))
 
     def fill(batches):
+        model, medians = shared.value
+        size = min(2000, model.rows_at_once())
         for batch in batches:
             codes = batch.column("codes").flatten().to_numpy().reshape(-1, len(FIELDS))
             ids, image = batch.column("ps_id"), batch.column("image_ix")
             median, deviation = (batch.column(c).to_numpy() for c in ("median", "deviation"))
             for field, name in ((LEVEL, "ph_uw"), (DAY, "acq_day")):
                 at = np.flatnonzero(codes[:, field] == -1)
-                for part in np.array_split(at, max(1, len(at) // 2000)):
-                    if not len(part):
-                        continue
+                for part in (at[k : k + size] for k in range(0, len(at), size)):
                     if field in model.neighbours:
                         mode, p = model.posterior(field, codes[part])
                         value = medians[mode] * deviation[part] + median[part] if field == LEVEL else mode.astype(float)

@@ -1,11 +1,13 @@
 """Implausible readings: bounds, stuck values and spikes, per source against its own normal course.
 
-A Hampel filter per source: the course is a robust slow-motion-and-season fit plus the rolling median of what it
-leaves, the scale comes from the median absolute deviation and is then refined on the readings within it. One or
-two successive readings beyond `limit` scales are a spike if a later reading is back on the course (ordinary readings stay
-within three, spikes are more than eight off, and the course itself is known to about one); longer departures
-are jumps that stay. Runs of `stuck` or more successive readings of the very same value are stuck,
-whatever the scale; infinite readings and those beyond `bound` are out of bounds.
+A Hampel filter per source and field: the course is a rolling median (for phases that move, of what a robust slow-motion-and-season
+fit leaves; for noise about zero, a wide one), the scale is the rolling median absolute deviation from it over the nearest
+2 * WIDE + 1 readings, refined on those within it. One or two successive readings beyond `limit` scales are a spike if
+a later reading is back on the course (ordinary readings stay within three, spikes are more than eight off, and the
+course itself is known to about one); longer departures are jumps that stay. Runs of `stuck` or more successive
+readings of the very same value are stuck, whatever the scale; infinite readings and those beyond `bound` are out of bounds.
+
+Sources are taken together with others of like length, so memory follows the readings and not sources times the longest one.
 
 Defined cases: null, NaN and no-data readings are passed over (readings on both sides of one are successive); stuck and
 out-of-bounds readings take no part in the course; sources with fewer than five other readings have no spikes;
@@ -26,6 +28,10 @@ from siltgrid.session import latest
 #: No-data codes of a phase; the physical bound in radians.
 NO_DATA = (-9999.0, -32768.0)
 BOUND = 500.0
+#: Readings on either side from which the scale is taken, and the course of noise about zero.
+WIDE = 20
+#: Cells of a dense block of sources, and of a window over one: they bound memory only.
+CELLS, WINDOW_CELLS = 400_000, 4_000_000
 REASONS = np.array(["", "bound", "stuck", "spike"])
 YEAR = 365.25
 
@@ -50,6 +56,17 @@ def _dense(group: np.ndarray, place: np.ndarray, n: int, *columns: np.ndarray) -
     return out
 
 
+def like_lengths(sizes: np.ndarray):
+    """Groups whose sizes are within a factor of two, in parts of about CELLS cells when dense; empty groups are left out."""
+    there = np.flatnonzero(sizes)
+    level = np.frexp(sizes[there].astype(float) - 0.5)[1]
+    for k in np.unique(level):
+        of = there[level == k]
+        step = max(1, CELLS // int(sizes[of].max()))
+        for start in range(0, len(of), step):
+            yield of[start : start + step]
+
+
 def _median(m: np.ndarray) -> np.ndarray:
     """Median along the last axis without NaN; NaN where there is nothing."""
     n = np.sum(~np.isnan(m), axis=-1)
@@ -87,17 +104,19 @@ def _season(t: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(ok, x - fit, np.nan)
 
 
-def _unstep(x: np.ndarray, passes: int = 2) -> np.ndarray:
-    """x without its largest jumps that stay: the medians of five readings before and after a place differ far more
+def _unstep(x: np.ndarray) -> np.ndarray:
+    """x without its jumps that stay, the largest first: the medians of five readings before and after a place differ far more
     than they do elsewhere in the row. Two spikes among five move no median."""
     x = x.copy()
-    rows, width = x.shape
+    width = x.shape[1]
     if width < 10:
         return x
     at = np.arange(width)[:, None] + np.arange(-5, 5)
     inside = (at >= 0) & (at < width)
-    for _ in range(passes):
-        window = np.where(inside, x[:, at.clip(0, width - 1)], np.nan)
+    todo = np.arange(len(x))
+    for _ in range(width // 5):  # no row holds more jumps that five readings part
+        y = x[todo]
+        window = np.where(inside, y[:, at.clip(0, width - 1)], np.nan)
         before, after = window[..., :5], window[..., 5:]
         enough = ((~np.isnan(before)).sum(-1) >= 3) & ((~np.isnan(after)).sum(-1) >= 3)
         d = np.where(enough, _median(after) - _median(before), np.nan)
@@ -105,45 +124,63 @@ def _unstep(x: np.ndarray, passes: int = 2) -> np.ndarray:
         spread = 1.4826 * _median(z) + 1e-9
         z = np.nan_to_num(z / spread[:, None], nan=0.0)
         most = z.max(1)
-        jump = np.abs(np.diff(x, axis=1, prepend=np.nan))
+        jump = np.abs(np.diff(y, axis=1, prepend=np.nan))
         k = np.nan_to_num(np.where(z >= 0.8 * most[:, None], jump, np.nan), nan=-1.0).argmax(1)
         row = np.flatnonzero(most > 8)
         if not len(row):
             break
         shift = d[row, k[row]] - _median(d)[row]
-        x[row] -= np.where(np.arange(width)[None, :] >= k[row, None], shift[:, None], 0)
+        todo = todo[row]
+        x[todo] -= np.where(np.arange(width)[None, :] >= k[row, None], shift[:, None], 0)
     return x
 
 
-def _rolling(r: np.ndarray, count: np.ndarray, half: int) -> np.ndarray:
-    """Median of the 2 * half nearest readings of each one, itself left out; windows are shifted inwards at the ends."""
+def _rolled(r: np.ndarray, count: np.ndarray, half: int, f, own: bool = True) -> np.ndarray:
+    """f of the window of the 2 * half + 1 nearest readings of each one; windows are shifted inwards at the ends.
+
+    own: does a reading take part in its own window? f takes (rows, places, window) with NaN for none and gives (rows, places).
+    """
     rows, width = r.shape
     k = 2 * half + 1
-    place = np.arange(width)[None, :]
-    first = np.clip(place - half, 0, np.maximum(count - k, 0)[:, None])
-    at = first[..., None] + np.arange(k)
-    window = np.take_along_axis(r, at.reshape(rows, -1).clip(0, width - 1), 1).reshape(rows, width, k)
-    window = np.where((at == place[..., None]) | (at >= count[:, None, None]), np.nan, window)
-    return _median(window)
+    if own and width <= k:  # every window is the whole row
+        return np.broadcast_to(f(r[:, None, :]), r.shape)
+    out = np.empty(r.shape)
+    step = max(1, WINDOW_CELLS // (rows * k))
+    for lo in range(0, width, step):
+        place = np.arange(lo, min(width, lo + step))[None, :]
+        first = np.clip(place - half, 0, np.maximum(count - k, 0)[:, None])
+        at = first[..., None] + np.arange(k)
+        window = np.take_along_axis(r, at.reshape(rows, -1).clip(0, width - 1), 1).reshape(at.shape)
+        out[:, lo : lo + step] = f(np.where((at >= count[:, None, None]) | (False if own else at == place[..., None]), np.nan, window))
+    return out
+
+
+def _scale(window: np.ndarray, inflation: float) -> np.ndarray:
+    """Scale of a window: median absolute deviation, then the deviation of what lies within 4.5 of it."""
+    size = np.abs(window)
+    scale = 1.4826 * _median(size) / inflation
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for _ in range(4):
+            inner = np.where(size <= 4.5 * inflation * scale[..., None], window, np.nan)
+            n = (~np.isnan(inner)).sum(-1)
+            scale = np.where(n >= 4, np.sqrt(np.nansum(inner**2, -1) / np.maximum(n, 1)) / inflation, scale)
+    return scale
 
 
 def spikes(t: np.ndarray, x: np.ndarray, course: str, half: int, limit: float) -> np.ndarray:
-    """Which readings of left-packed rows x (NaN beyond each row's end) are spikes."""
+    """Which readings of left-packed rows x (NaN beyond each row's end) are spikes. course: 'smooth' or 'zero'."""
     count = (~np.isnan(x)).sum(1)
     there = ~np.isnan(x)
     if course == "zero":
-        off, inflation = x.copy(), 1.0
+        noise = np.where(x == 0, np.nan, x)  # the reference image's own zero says nothing
+        off, inflation = x - np.nan_to_num(_rolled(noise, count, WIDE, _median)), 1.0
     else:
         r = _season(t, _unstep(x))
-        off, inflation = r - _rolling(r, count, half), 1.12
-    scored = np.where(x == 0, np.nan, off)  # the reference image's own zero says nothing of the noise
-    scale = 1.4826 * _median(np.abs(scored)) / inflation
+        off, inflation = r - _rolled(r, count, half, _median, own=False), 1.12
+    scored = np.where(x == 0, np.nan, off)
+    scale = _rolled(scored, count, WIDE, lambda w: _scale(w, inflation))
     with np.errstate(invalid="ignore", divide="ignore"):
-        for _ in range(4):
-            inner = np.where(np.abs(scored) <= 4.5 * inflation * scale[:, None], scored, np.nan)
-            n = (~np.isnan(inner)).sum(1)
-            scale = np.where(n >= 4, np.sqrt(np.nansum(inner**2, 1) / np.maximum(n, 1)) / inflation, scale)
-        far = there & (np.abs(off) > limit * scale[:, None]) & (scale > 0)[:, None] & (count >= 5)[:, None]
+        far = there & (np.abs(off) > limit * scale) & (scale > 0) & (count >= 5)[:, None]
     # runs of departures: length of the run that each one is in, and whether a reading follows it
     width = x.shape[1]
     place = np.broadcast_to(np.arange(width), x.shape)
@@ -153,7 +190,7 @@ def spikes(t: np.ndarray, x: np.ndarray, course: str, half: int, limit: float) -
     left = np.where(last_near >= 0, np.take_along_axis(x, last_near.clip(0), 1), np.nan)
     right = np.where(next_near < width, np.take_along_axis(x, next_near.clip(0, width - 1), 1), np.nan)
     with np.errstate(invalid="ignore"):
-        apart = np.fmin(np.abs(x - left), np.abs(x - right)) > 0.65 * limit * scale[:, None]
+        apart = np.fmin(np.abs(x - left), np.abs(x - right)) > 0.65 * limit * scale
     return far & apart & (next_near < width) & (next_near - last_near - 1 <= 2)
 
 
@@ -167,10 +204,13 @@ def judge(group: np.ndarray, t: np.ndarray, value: np.ndarray, n: int, course: s
     rest = np.flatnonzero(code == 0)
     if len(rest):
         sizes = np.bincount(group[rest], minlength=n)
-        place = np.arange(len(rest)) - np.cumsum(np.r_[0, sizes[:-1]])[group[rest]]
-        tm, xm = _dense(group[rest], place, n, t[rest], value[rest])
-        hit = spikes(tm, xm, course, half, limit)
-        code[rest[hit[group[rest], place]]] = 3
+        start = np.cumsum(np.r_[0, sizes[:-1]])
+        for of in like_lengths(sizes):
+            row = np.repeat(np.arange(len(of)), sizes[of])
+            place = np.arange(len(row)) - np.repeat(np.cumsum(np.r_[0, sizes[of][:-1]]), sizes[of])
+            at = rest[start[of][row] + place]
+            tm, xm = _dense(row, place, len(of), t[at], value[at])
+            code[at[spikes(tm, xm, course, half, limit)[row, place]]] = 3
     return code
 
 

@@ -181,6 +181,30 @@ def test_spikes_in_arrays(spark):
     assert {(r.ps_id, r.image_ix, r.reason) for r in spikes.implausible_arrays(df).collect()} == {(1, 4, "spike")}
 
 
+def test_one_long_source_among_short_ones():
+    """Memory follows the readings, and what is found does not depend on the company."""
+    import tracemalloc
+
+    rng = np.random.RandomState(11)
+    sizes = np.r_[np.full(30_000, 5), 200_000, np.full(30_000, 5)]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    value = np.clip(rng.normal(0, 1, len(group)), -2.8, 2.8)
+    at = np.cumsum(np.r_[0, sizes])[30_000]
+    hit = at + np.arange(50, 200_000, 9_973)
+    value[hit] += 30
+    noisy = slice(at + 100_000, at + 200_000)
+    value[noisy] *= 3  # its own normal behaviour changes half way
+    value[hit[hit >= at + 100_000]] += 60
+    tracemalloc.start()
+    code = spikes.judge(group, np.arange(len(group)) - at * 1.0, value, len(sizes), "zero")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    long = np.flatnonzero(code[at : at + 200_000]) + at
+    assert peak < 1e9 and set(hit) <= set(long) and len(long) <= len(hit) + 20
+    alone = spikes.judge(np.zeros(200_000, int), np.arange(200_000) * 1.0, value[at : at + 200_000], 1, "zero")
+    assert (alone == code[at : at + 200_000]).all()
+
+
 def test_spikes_of_empty(spark):
     stacks = spark.createDataFrame([(1, 24)], "stack_id int, repeat_days int")
     assert spikes.implausible_series(spark.createDataFrame([], READING), stacks).count() == 0
