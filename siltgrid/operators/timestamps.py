@@ -2,10 +2,12 @@
 
 Every text is brought by its layout to calendar parts, and each valid reading of the parts is a candidate: a slashed
 date may put the day or the month first, a serial day number may count from either of two day-ones. Expectation-
-maximisation over the mixture of readings of each source (writer) and family weighs candidates by how well they
-fall into the observation window of the record's stack; its posteriors choose the reading, and values whose best
-posterior stays under `sure` while another valid reading differs are marked 'ambiguous'. Documented conventions
-of a source enter as its prior.
+maximisation over the mixture of readings of each source (writer) and family weighs candidates by how well they fall into the
+observation window of the record's stack, beside a component of junk that fits nothing. Conventions that are known of a
+source enter as a prior of PSEUDO values, which the source's own values outweigh. A reading that a source hardly ever uses (weight
+under `least`) is no candidate: a text that is impossible in every reading of its source names no real time. Posteriors over the
+others choose; values whose best posterior stays under `sure` while another valid reading differs, and texts that only an
+unused reading makes possible, are marked 'ambiguous' with the other instant beside them.
 
 Zones: a zone or offset in the text holds first, then the record's zone name, then the site's; serial numbers and counts
 since 1970 are UTC. A local time that occurs twice is the earlier instant, one that is skipped counts with the
@@ -20,18 +22,23 @@ from __future__ import annotations
 
 import zoneinfo
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltgrid.session import stored
+
 #: Usual offsets of zone abbreviations in minutes.
 ABBREVIATIONS = {"Z": 0, "UTC": 0, "UT": 0, "GMT": 0, "CET": 60, "CEST": 120, "EST": -300, "EDT": -240, "JST": 540}
 #: Month names.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 #: Number of 1970-01-01 when 0000-01-01 is day 1, and when 0001-01-01 is.
 EPOCH_YEAR_0, EPOCH_YEAR_1 = 719529, 719163
-#: Sources whose documented convention is not the usual one, by family.
-CONVENTIONS = {"slashed": ("dmy", {"isce_us": "mdy"}), "serial": ("year0", {"python": "year1"})}
+#: Usual reading of each family, and sources known to differ; a prior and no rule.
+CONVENTIONS = {"slashed": ("dmy", {}), "serial": ("year0", {})}
+#: Values that a known convention counts for, its share of them and that of the other reading; what is left is junk, whose fit is JUNK.
+PSEUDO, KNOWN, OTHER, JUNK = 10.0, 0.98, 0.015, 0.001
 READINGS = {"slashed": ("dmy", "mdy"), "serial": ("year0", "year1")}
 
 _ZONE = r"\s*(Z|[A-Z]{2,4}|[+-]\d{2}(?::?\d{2})?|[A-Za-z]+(?:/[A-Za-z_+-]+)+)?$"
@@ -142,36 +149,40 @@ def candidates(df: DataFrame, text: str, writer: str, zone_name: str, site_zone:
     )
 
 
-def _convention(family: str, writer: Column) -> Column:
-    usual, others = CONVENTIONS[family]
-    out = F.lit(usual)
-    for source, reading in others.items():
-        out = F.when(writer == source, F.lit(reading)).otherwise(out)
+def _first_is_usual(conventions: dict, writer: Column) -> Column:
+    """Is the first reading of a row's family what is known of its source?"""
+    out = F.lit(None).cast("boolean")
+    for family, (usual, others) in conventions.items():
+        known = F.lit(usual)
+        for source, reading in others.items():
+            known = F.when(writer == source, F.lit(reading)).otherwise(known)
+        out = F.when(F.col("family") == family, known == READINGS[family][0]).otherwise(out)
     return out
 
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
-    """Mixture weight of the first reading of one source and family by EM; rows are counts of like values."""
-    n, l1, l2 = group["n"], group["l1"], group["l2"]
-    prior1 = 0.98 if group["first_is_convention"].iloc[0] else 0.02
-    strength = 10.0 * float(n.sum())
-    w = prior1
-    for _ in range(50):
-        a, b = w * l1, (1 - w) * l2
-        r = (a / (a + b).clip(lower=1e-300)).where((a + b) > 0, w)
-        new = float((strength * prior1 + (n * r).sum()) / (strength + n.sum()))
-        if abs(new - w) < 1e-9:
-            break
+    """Mixture weights of both readings of one source and family by EM; rows are counts of like values."""
+    n, fit = group["n"].to_numpy(float), np.c_[group["l1"], group["l2"], np.full(len(group), JUNK)]
+    known = [KNOWN, OTHER] if group["first_is_usual"].iloc[0] else [OTHER, KNOWN]
+    prior = PSEUDO * np.array([*known, 1 - KNOWN - OTHER])
+    w = prior / prior.sum()
+    for _ in range(500):
+        r = w * fit
+        new = prior + (n[:, None] * r / r.sum(1, keepdims=True)).sum(0)
+        new /= new.sum()
+        done = np.abs(new - w).max() < 1e-9
         w = new
-    return pd.DataFrame({"_writer": [group["_writer"].iloc[0]], "family": [group["family"].iloc[0]], "weight": [w]})
+        if done:
+            break
+    return pd.DataFrame({"_writer": [group["_writer"].iloc[0]], "family": [group["family"].iloc[0]], "w1": [w[0]], "w2": [w[1]]})
 
 
-def normalise(log: DataFrame, stacks: DataFrame, fields: dict[str, str], sure: float = 0.9) -> DataFrame:
-    """One row per record and field: layout, chosen reading, utc_us, posterior, status ('ok', 'ambiguous', 'none').
+def normalise(log: DataFrame, stacks: DataFrame, fields: dict[str, str], sure: float = 0.9, conventions: dict | None = None, least: float = 0.1) -> DataFrame:
+    """One row per record and field: layout, chosen reading, utc_us, posterior, status ('ok', 'ambiguous', 'none'), other_us.
 
-    log: rec_id, stack_id, writer, tz_name and the texts. fields: name of the result to the text's column. Values are
-    counted by source, family and likelihood before the mixtures are fitted, so a source with a third of
-    all rows is a handful of rows there.
+    log: rec_id, stack_id, writer, tz_name and the texts. fields: name of the result to the text's column. conventions: like CONVENTIONS.
+    Texts are parsed once and stored; values are counted by source, family and likelihood before the mixtures are fitted, so a
+    source with a third of all rows is a handful of rows there.
     """
     site = stacks.select("stack_id", "site_tz", "master_day", (F.col("first_day") - F.col("repeat_days")).alias("_from"), (F.col("first_day") + F.col("n_slots") * F.col("repeat_days")).alias("_to")).dropDuplicates(["stack_id"])
     texts = F.explode(F.array(*(F.struct(F.lit(name).alias("field_name"), F.col(c).alias("raw")) for name, c in fields.items())))
@@ -184,21 +195,20 @@ def normalise(log: DataFrame, stacks: DataFrame, fields: dict[str, str], sure: f
         return F.when(F.col(us).isNull(), 0.0).when(master, 1.0).when(day.between(F.col("_from"), F.col("_to")), 0.2).otherwise(0.01)
 
     rows = rows.withColumn("l1", likelihood("us1")).withColumn("l2", likelihood("us2")).withColumn("_writer", F.coalesce("_writer", F.lit("")))
-    is_first = F.when(F.col("family") == "slashed", _convention("slashed", F.col("_writer")) == "dmy").otherwise(_convention("serial", F.col("_writer")) == "year0")
-    rows = rows.withColumn("first_is_convention", is_first)
-    counts = rows.where(F.col("family").isNotNull() & (F.col("l1") + F.col("l2") > 0)).groupBy("_writer", "family", "l1", "l2", "first_is_convention").agg(F.count("*").cast("double").alias("n"))
-    weights = counts.groupBy("_writer", "family").applyInPandas(_fit, "_writer string, family string, weight double")
-    rows = _settled(rows)
-    a, b = F.coalesce(F.col("weight"), F.lit(1.0)) * F.col("l1"), (1 - F.coalesce(F.col("weight"), F.lit(1.0))) * F.col("l2")
-    rows = rows.join(weights, ["_writer", "family"], "left").withColumn("p1", F.when(a + b > 0, a / (a + b)))
-    first = F.col("family").isNull() | (F.col("p1") >= 0.5)
-    names = {f: F.when(first, F.lit(READINGS[f][0])).otherwise(F.lit(READINGS[f][1])) for f in READINGS}
-    us = F.when(first, F.col("us1")).otherwise(F.col("us2"))
-    best = F.when(F.col("family").isNull(), F.lit(1.0)).otherwise(F.greatest("p1", 1 - F.col("p1")))
-    status = F.when(us.isNull(), "none").when(F.col("us2").isNotNull() & (F.col("us1") != F.col("us2")) & (best < sure), "ambiguous").otherwise("ok")
-    return rows.select(
-        "rec_id", "field_name", "layout",
-        F.when(F.col("family") == "slashed", names["slashed"]).when(F.col("family") == "serial", names["serial"]).alias("reading"),
-        us.alias("utc_us"), F.when(us.isNotNull(), best).alias("posterior"), status.alias("status"),
-        (F.col("family").isNull() | (first == F.col("first_is_convention"))).alias("by_convention"),
-    )
+    rows = stored(rows.select("rec_id", "field_name", "layout", "family", "_writer", "us1", "us2", "l1", "l2"), "instants")
+    counts = rows.where(F.col("family").isNotNull() & (F.col("l1") + F.col("l2") > 0)).groupBy("_writer", "family", "l1", "l2").agg(F.count("*").cast("double").alias("n"))
+    counts = counts.withColumn("first_is_usual", _first_is_usual(conventions or CONVENTIONS, F.col("_writer")))
+    weights = counts.groupBy("_writer", "family").applyInPandas(_fit, "_writer string, family string, w1 double, w2 double")
+    rows = rows.join(weights, ["_writer", "family"], "left")
+    used = lambda k: F.when(F.col(f"w{k}") >= least, F.col(f"w{k}") * F.col(f"l{k}")).otherwise(0.0)
+    rows = _settled(rows.withColumn("_a", used(1)).withColumn("_b", used(2)))
+    plain, a, b = F.col("family").isNull(), F.col("_a"), F.col("_b")
+    first = plain | (a >= b)
+    us = F.when(plain | (first & (a > 0)), F.col("us1")).when(b > a, F.col("us2"))
+    best = F.when(plain, F.lit(1.0)).when(a + b > 0, F.greatest(a, b) / (a + b))
+    other = F.when(us.isNull(), F.when(~plain, F.coalesce("us1", "us2"))).when(~plain & (a > 0) & (b > 0) & (F.col("us1") != F.col("us2")) & (best < sure), F.when(first, F.col("us2")).otherwise(F.col("us1")))
+    status = F.when(other.isNotNull(), "ambiguous").when(us.isNull(), "none").otherwise("ok")
+    reading = F.lit(None).cast("string")
+    for family, (one, two) in READINGS.items():
+        reading = F.when(F.col("family") == family, F.when(first, F.lit(one)).otherwise(F.lit(two))).otherwise(reading)
+    return rows.select("rec_id", "field_name", "layout", F.when(us.isNotNull(), reading).alias("reading"), us.alias("utc_us"), F.when(us.isNotNull(), best).alias("posterior"), status.alias("status"), other.alias("other_us"))

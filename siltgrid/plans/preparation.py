@@ -84,14 +84,18 @@ def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imputation.fill_missing(table(spark, sf_dir, "phuw2"))
 
 
+#: Conventions that the table's description states of its writers.
+WRITERS = {"slashed": ("dmy", {"isce_us": "mdy"}), "serial": ("year0", {"python": "year1"})}
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instants of all texts that name a real time; readings against a source's documented convention are left out."""
-    return p7_normalised(spark, sf_dir).where("utc_us is not null and by_convention").select("rec_id", "field_name", "utc_us")
+    """Instants of all texts that name a real time."""
+    return p7_normalised(spark, sf_dir).where("utc_us is not null").select("rec_id", "field_name", "utc_us")
 
 
 def p7_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both texts of every record with layout, reading, instant, posterior and status."""
-    return timestamps.normalise(table(spark, sf_dir, "acq_log"), table(spark, sf_dir, "stacks"), {"acq_day": "acq_day_raw", "master_day": "master_day_raw"})
+    return timestamps.normalise(table(spark, sf_dir, "acq_log"), table(spark, sf_dir, "stacks"), {"acq_day": "acq_day_raw", "master_day": "master_day_raw"}, conventions=WRITERS)
 
 
 #: The current version of each reading, for the SQL below.

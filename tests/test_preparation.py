@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltgrid.operators import copies, gridding, imputation, near, regions, spikes, timestamps
+from siltgrid.plans.preparation import WRITERS
 
 T0, T1 = dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 2)
 POINT = "ps_id long, stack_id int, lon double, lat double, loaded_at timestamp"
@@ -301,7 +302,7 @@ CASES = [
 
 def test_timestamps(spark):
     log = spark.createDataFrame([(i, 1, w, z, t) for i, (t, w, z, _) in enumerate(CASES)], "rec_id long, stack_id int, writer string, tz_name string, raw string")
-    got = {r.rec_id: r.utc_us for r in timestamps.normalise(log, spark.createDataFrame(STACKS, STACK), {"acq_day": "raw"}).collect()}
+    got = {r.rec_id: r.utc_us for r in timestamps.normalise(log, spark.createDataFrame(STACKS, STACK), {"acq_day": "raw"}, conventions=WRITERS).collect()}
     assert {i: got[i] for i in got if got[i] != CASES[i][3]} == {} and len(got) == len(CASES)
 
 
@@ -310,3 +311,17 @@ def test_timestamps_without_any_zone(spark):
     out = {r.rec_id: (r.utc_us, r.status) for r in timestamps.normalise(log, spark.createDataFrame(STACKS, STACK), {"acq_day": "raw"}).collect()}
     assert out == {1: (None, "none"), 2: (None, "none"), 3: (utc(2020, 3, 1, 10), "ok")}
     assert timestamps.normalise(log.where("false"), spark.createDataFrame(STACKS, STACK), {"acq_day": "raw"}).count() == 0
+
+
+def test_values_outweigh_a_wrong_convention(spark):
+    """A source that writes months first is read so, whatever was thought of it; a text impossible in its format names no time."""
+    rows = [(m * 100 + d, 1, w, "UTC", f"{m:02d}/{d:02d}/2020") for w in ("new",) for m in range(1, 13) for d in range(1, 29)]
+    rows += [(10_000 + k, 1, "new", "UTC", f"{d}/05/2020") for k, d in enumerate((13, 25, 31))]
+    rows += [(20_000, 1, "few", "UTC", "05/25/2020"), (20_001, 1, "few", "UTC", "25/05/2020"), (20_002, 1, "few", "UTC", "05/26/2020")]
+    log = spark.createDataFrame(rows, "rec_id long, stack_id int, writer string, tz_name string, raw string")
+    stacks = spark.createDataFrame([(1, 737700, 10, 60, 738000, "UTC")], STACK)
+    got = {r.rec_id: r for r in timestamps.normalise(log, stacks, {"acq_day": "raw"}, conventions={"slashed": ("dmy", {"new": "dmy"})}).collect()}
+    assert all(got[m * 100 + d].utc_us == utc(2020, m, d) for m in range(1, 13) for d in range(1, 29))
+    for k, d in enumerate((13, 25, 31)):
+        assert (got[10_000 + k].utc_us, got[10_000 + k].status, got[10_000 + k].other_us) == (None, "ambiguous", utc(2020, 5, d))
+    assert got[20_000].utc_us == got[20_001].utc_us == utc(2020, 5, 25)  # with few values both readings are in use
