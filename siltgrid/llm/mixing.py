@@ -6,7 +6,8 @@ counted by exact token length; an even share of each length is taken, and bounde
 the leftover counts closes the gap to the budget, to the token where any combination of lengths does. Which documents
 of a length are taken is a seeded draw, spread evenly over the corpus.
 
-Only the histogram (source, length, count) reaches the driver: it grows with the longest document, not with the corpus.
+Only the histogram (source, length, count) reaches the driver: it grows with the longest document, not with the corpus. The plan goes
+back as a table of as many rows, broadcast up to BROADCAST of them and shuffled beyond; documents are never on a broadcast side.
 The draw ranks documents by a seeded hash within hash buckets of a few thousand rows, so a source or a length
 with a third of all rows is never one task.
 
@@ -28,6 +29,8 @@ from siltgrid.session import stored
 
 #: Tokens that are left to the dynamic programme at most, in longest documents; and rows of a draw's bucket.
 REACH, BUCKET = 3, 4096
+#: Rows of the plan (three numbers and a source each) that are broadcast at most.
+BROADCAST = 100_000
 
 
 def knapsack(counts: dict[int, int], target: int) -> dict[int, int]:
@@ -113,11 +116,12 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | Non
     """(chosen documents, shares).
 
     Chosen: doc_id, source, n_tokens, copies. Shares: source, target_share, max_repeats, budget, n_documents, n_copies,
-    n_tokens, actual_share. documents: doc_id, source, text; targets: source, target_share, max_repeats (a row per source).
+    n_tokens, actual_share; a row per target source, held on the driver. documents: doc_id, source, text; targets: source,
+    target_share, max_repeats (a row per source).
     """
     spark = documents.sparkSession
-    goal = {r[0]: (r[1] or 0.0, r[2] or 0) for r in targets.select("source", "target_share", "max_repeats").where("source is not null").collect()}
-    wanted = documents.join(targets.where("source is not null").select("source").distinct(), "source", "left_semi")
+    goal = {r[0]: (float(r[1] or 0.0), int(r[2] or 0)) for r in targets.select("source", "target_share", "max_repeats").where("source is not null").collect()}
+    wanted = documents.where(F.col("source").isin(list(goal)))
     sized = stored(count_tokens(wanted, ["doc_id", "source"], path=path).where("n_tokens > 0"), "sized")
     histogram: dict[str, dict[int, int]] = {}
     for s, x, n in sized.groupBy("source", "n_tokens").count().collect():
@@ -126,15 +130,18 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | Non
     quota_rows = [(s, x, p, rest.get(x, 0), math.ceil(n / BUCKET)) for s, (_, p, rest) in planned.items() for x, n in histogram.get(s, {}).items() if p or rest.get(x)]
     quotas = spark.createDataFrame(quota_rows, "source string, n_tokens int, passes int, extra long, buckets int")
     h = F.xxhash64(F.lit(seed), "doc_id")
-    drawn = sized.join(quotas, ["source", "n_tokens"]).withColumn("_h", h).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_h", 20), F.col("buckets")))
+    small = F.broadcast if len(quota_rows) <= BROADCAST else lambda df: df.hint("merge")
+    drawn = sized.join(small(quotas), ["source", "n_tokens"]).withColumn("_h", h).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_h", 20), F.col("buckets")))
     keys = ["source", "n_tokens", "_bucket"]
     before = Window.partitionBy("source", "n_tokens").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = drawn.where("buckets > 1").groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id")) + F.coalesce("_before", F.lit(0))
-    chosen = drawn.join(offsets, keys, "left").withColumn("copies", F.col("passes") + F.when(rank <= F.col("extra"), 1).otherwise(0))
+    chosen = drawn.hint("merge").join(offsets, keys, "left").withColumn("copies", F.col("passes") + F.when(rank <= F.col("extra"), 1).otherwise(0))
     chosen = stored(chosen.where("copies > 0").select("doc_id", "source", "n_tokens", F.col("copies").cast("int")), "chosen")
-    budgets = spark.createDataFrame([(s, b) for s, (b, _, _) in planned.items()], "source string, budget long")
-    used = chosen.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("copies").alias("n_copies"), F.sum(F.col("n_tokens").cast("long") * F.col("copies")).alias("n_tokens"))
-    shares = targets.join(budgets, "source").join(used, "source", "left").na.fill(0, ["n_documents", "n_copies", "n_tokens"])
-    whole = F.greatest(F.sum("n_tokens").over(Window.partitionBy(F.lit(1))), F.lit(1))  # a row per source
-    return chosen, shares.select("source", "target_share", "max_repeats", "budget", "n_documents", "n_copies", "n_tokens", (F.col("n_tokens") / whole).alias("actual_share"))
+    used = {r[0]: r[1:] for r in chosen.groupBy("source").agg(F.count("*"), F.sum("copies"), F.sum(F.col("n_tokens").cast("long") * F.col("copies"))).collect()}
+    whole = max(1, sum(n for *_, n in used.values()))
+    rows = []
+    for s, (budget, _, _) in planned.items():
+        documents_, copies, n = used.get(s, (0, 0, 0))
+        rows.append((s, goal[s][0], goal[s][1], budget, documents_, copies, n, n / whole))
+    return chosen, spark.createDataFrame(rows, "source string, target_share double, max_repeats int, budget long, n_documents long, n_copies long, n_tokens long, actual_share double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltgrid.llm import mixing, sentences, survivors, tokens
 from siltgrid.session import latest, table
@@ -28,7 +29,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen documents, how often each is used, and the target and actual share of its source."""
     chosen, shares = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return chosen.join(shares.select("source", "target_share", "actual_share"), "source")
+    return chosen.join(F.broadcast(shares.select("source", "target_share", "actual_share")), "source")  # a row per target source
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
