@@ -33,9 +33,9 @@ CLOSERS = "\"'”“’»›」』）)］\\]\x93\x94"
 OPENERS = "\"'“„‘«‹「『（(［[¿¡\x93\x84"
 QUOTES = set("\"”“»」』«„\x93\x94")
 
-_MARKUP = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
+_MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 _FRAME = re.compile(r"\{\d+\}\{\d+\}")
-_SPEAKER = re.compile(r"([^\s:a-z0-9][^:a-z0-9]{1,24}):\s+")
+_SPEAKER = re.compile(r"([^\s:a-z0-9][^:a-z0-9]+):\s+")
 _DASH = re.compile(r"[-–—‐]+\s*")
 _SUNG = re.compile(r"[♪♫🎵🎶]")
 _SOUND = re.compile(r"[\[(（［].*[\])）］]", re.S)
@@ -292,7 +292,9 @@ def plain(word: str) -> str:
 # ---------------------------------------------------------------- statistics
 
 #: Kinds of counts: followers of "word." by kind, capitals that follow it, words in the middle, words at sure starts, word pairs, words after a closed quotation.
-DOT_LOWER, DOT_DIGIT, DOT_UPPER, DOT_PAIR, INNER, START, PAIR, QUOTED, WORD = range(9)
+DOT_LOWER, DOT_DIGIT, DOT_PAIR, INNER, START, PAIR, QUOTED = range(7)
+#: Log-likelihood ratio from which two shares differ (5 % of a chi-square of one degree).
+DIFFERS = 3.84
 _COUNTS = T.StructType(
     [T.StructField("lang", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("n", T.LongType())]
 )
@@ -309,8 +311,9 @@ def study(line: str, lang: str, n: int, counts: Counter) -> None:
             b = plain(y)
             if _INITIAL.fullmatch(y):
                 k = "lower"  # a period before an initial ends nothing
-            counts[lang, DOT_LOWER if k in ("lower", "other") else DOT_DIGIT if k == "digit" else DOT_UPPER, a, ""] += n
-            if k == "upper" and b:
+            if k != "upper":
+                counts[lang, DOT_DIGIT if k == "digit" else DOT_LOWER, a, ""] += n
+            elif b:
                 counts[lang, DOT_PAIR, a, b] += n
         elif x[-1] in "!?।;" or x[-1] in "\"”“»" and len(x) > 1 and x[-2] in "!?।;.":
             b = plain(y)
@@ -378,6 +381,20 @@ def log_likelihood(k1: float, n1: float, k2: float, n2: float) -> float:
     return 2 * (part(k1, n1, p1) + part(k2, n2, p2) - part(k1, n1, p) - part(k2, n2, p))
 
 
+def starts(start: float, total_start: float, inner: float, total_inner: float) -> bool:
+    """Does a word start sentences significantly more often than it stands within them?"""
+    return start / total_start > inner / total_inner and log_likelihood(start, total_start, inner, total_inner) > DIFFERS
+
+
+def like_within(hits: float, n: float, within: float, total_within: float, at_start: float, total_start: float) -> bool:
+    """Do n followers, of which hits are starters, look like words within sentences rather than like words at sure starts?
+
+    A likelihood ratio of two shares of starters: that of capitalised words within sentences and that of sure starts.
+    """
+    p, q = (min(max(k / t, 1e-3), 1 - 1e-3) for k, t in ((within, total_within), (at_start, total_start)))
+    return p < q and 2 * (hits * math.log(p / q) + (n - hits) * math.log((1 - p) / (1 - q))) > DIFFERS
+
+
 class Model:
     """What the counts say, by language: abbreviations, titles, starters, words that belong together, report words."""
 
@@ -386,16 +403,15 @@ class Model:
         for lang, k, a, b, n in rows:
             by.setdefault(lang, {}).setdefault(k, {})[(a, b) if b else a] = n
         self.abbreviations: dict[str, dict[str, tuple[bool, bool]]] = {}
-        self.start: dict[str, dict[str, float]] = {}
         self.pairs: dict[str, set[tuple[str, str]]] = {}
         self.reports: dict[str, set[str]] = {}
         for lang, counts in by.items():
             get = lambda k: counts.get(k, {})  # noqa: B023, E731
             inner, start = get(INNER), get(START)
             total_inner, total_start = sum(inner.values()) or 1, sum(start.values()) or 1
-            # log odds of a word in the middle against at a sure start; 0 where neither was seen
-            score = {w: math.log((inner.get(w, 0) / total_inner + 1e-4) / (start.get(w, 0) / total_start + 1e-4)) for w in {*inner, *start}}
-            self.start[lang] = score
+            # words that start sentences more often than they stand within
+            starters = {w for w, n in start.items() if starts(n, total_start, inner.get(w, 0), total_inner)}
+            at_start, within = sum(start[w] for w in starters), sum(inner.get(w, 0) for w in starters)
             upper: dict[str, Counter] = {}
             for (a, b), n in get(DOT_PAIR).items():
                 upper.setdefault(a, Counter())[b] += n
@@ -409,12 +425,10 @@ class Model:
                 low = lower.get(w, 0) + digit.get(w, 0)
                 ups = upper.get(w, {})
                 n_up = sum(ups.values())
-                # a title goes before words that are at home in the middle of sentences, or at least at none of many sure starts;
-                # where hardly any start is known, unseen words say nothing
-                seen = sum(m for b, m in ups.items() if b in score or total_start >= 30)
-                mean = sum(m * score.get(b, 0.0) for b, m in ups.items()) / seen if seen else 0.0
-                title = n_up > 0 and seen > 0.3 * n_up and mean > -1.2
-                before = low / n > 0.5 and n >= 3 and log_likelihood(low, n, low_all - low, max(1, all_all - n)) > 3.84
+                # after a title stand such words as stand within sentences
+                hits = sum(m for b, m in ups.items() if b in starters)
+                title = n_up > 0 and like_within(hits, n_up, within, total_inner, at_start, total_start)
+                before = low / n > 0.5 and n >= 3 and log_likelihood(low, n, low_all - low, max(1, all_all - n)) > DIFFERS
                 if before or title and n >= 3:
                     table[w] = (title, digit.get(w, 0) > 0.02 * n)
             self.abbreviations[lang] = table
@@ -423,7 +437,7 @@ class Model:
             for (a, _), n in together.items():
                 left[a] += n
             self.pairs[lang] = {
-                (a, b) for (a, b), n in together.items() if n >= 2 and log_likelihood(n, left[a], inner.get(b, 0) - n, max(1, total_inner - left[a])) > 3.84
+                (a, b) for (a, b), n in together.items() if n >= 2 and log_likelihood(n, left[a], inner.get(b, 0) - n, max(1, total_inner - left[a])) > DIFFERS
             }
             for (a, b), n in get(DOT_PAIR).items():
                 if a == "##" and n >= 3 and start.get(b, 0) + inner.get(b, 0) < n:
@@ -464,19 +478,21 @@ def decided(counts: DataFrame) -> DataFrame:
     sums = seen.groupBy("lang").agg(F.sum("inner").alias("ti"), F.sum("start").alias("ts"))
     sums = of(DOT_LOWER, DOT_DIGIT, DOT_PAIR, PAIR).select("lang").distinct().join(sums, "lang", "left")
     sums = sums.select("lang", *(F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)).alias(c) for c in ("ti", "ts")))
-    odds = seen.join(sums.select("lang", "ti", "ts"), "lang")
-    odds = odds.select("lang", F.col("a").alias("b"), "inner", "start", F.log((F.col("inner") / F.col("ti") + 1e-4) / (F.col("start") / F.col("ts") + 1e-4)).alias("score"))
+    more = (F.col("start") / F.col("ts") > F.col("inner") / F.col("ti")) & (_ratio(F.col("start"), F.col("ts"), F.col("inner"), F.col("ti")) > DIFFERS)
+    odds = seen.join(sums.select("lang", "ti", "ts"), "lang").select("lang", F.col("a").alias("b"), "inner", "start", more.alias("starter"))
+    odds = stored(odds, "sentence-words")
+    sums = sums.join(odds.where("starter").groupBy("lang").agg(F.sum("start").alias("bs"), F.sum("inner").alias("bi")), "lang", "left").na.fill(0)
 
-    ups = of(DOT_PAIR).join(odds.select("lang", "b", "score"), ["lang", "b"], "left").join(sums.select("lang", "ts"), "lang")
-    known = F.when(F.col("score").isNotNull() | (F.col("ts") >= 30), F.col("n")).otherwise(0)
-    ups = ups.groupBy("lang", "a").agg(F.sum("n").alias("up"), F.sum(known).alias("seen"), F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))).alias("sum"))
+    ups = of(DOT_PAIR).join(odds.select("lang", "b", "starter"), ["lang", "b"], "left")
+    ups = ups.groupBy("lang", "a").agg(F.sum("n").alias("up"), F.sum(F.when(F.col("starter"), F.col("n")).otherwise(0)).alias("hits"))
     dots = of(DOT_LOWER, DOT_DIGIT).groupBy("lang", "a").agg(total(DOT_LOWER).alias("lower"), total(DOT_DIGIT).alias("digit"))
     words = dots.join(ups, ["lang", "a"], "full").na.fill(0).withColumn("low", F.col("lower") + F.col("digit")).withColumn("n", F.col("low") + F.col("up"))
-    words = words.join(words.groupBy("lang").agg(F.sum("low").alias("low_all"), F.sum("n").alias("all")), "lang")
-    mean = F.when(F.col("seen") > 0, F.col("sum") / F.col("seen")).otherwise(0.0)
-    title = (F.col("up") > 0) & (F.col("seen") > 0.3 * F.col("up")) & (mean > -1.2)
+    words = words.join(words.groupBy("lang").agg(F.sum("low").alias("low_all"), F.sum("n").alias("all")), "lang").join(sums, "lang")
+    share = lambda k, n: F.least(F.greatest(F.col(k) / F.col(n), F.lit(1e-3)), F.lit(1 - 1e-3))
+    p, q = share("bi", "ti"), share("bs", "ts")
+    title = (F.col("up") > 0) & (p < q) & (2 * (F.col("hits") * F.log(p / q) + (F.col("up") - F.col("hits")) * F.log((1 - p) / (1 - q))) > DIFFERS)
     apart = _ratio(F.col("low"), F.col("n"), F.col("low_all") - F.col("low"), F.greatest(F.lit(1), F.col("all") - F.col("n")))
-    before = (F.col("low") / F.col("n") > 0.5) & (apart > 3.84)
+    before = (F.col("low") / F.col("n") > 0.5) & (apart > DIFFERS)
     words = words.where((F.col("a") != "##") & (F.col("n") >= 3) & (before | title))
     out = words.select("lang", F.lit("word").alias("what"), "a", F.lit("").alias("b"), title.alias("title"), (F.col("digit") > 0.02 * F.col("n")).alias("digits"))
 
@@ -486,7 +502,7 @@ def decided(counts: DataFrame) -> DataFrame:
     left = pairs.groupBy("lang", "a").agg(F.sum("n").alias("left"))
     pairs = pairs.where("n >= 2").join(left, ["lang", "a"]).join(odds.select("lang", "b", "inner"), ["lang", "b"], "left").join(sums.select("lang", "ti"), "lang")
     tied = _ratio(F.col("n"), F.col("left"), F.coalesce("inner", F.lit(0)) - F.col("n"), F.greatest(F.lit(1), F.col("ti") - F.col("left")))
-    out = out.unionByName(rows(pairs.where(tied > 3.84), "pair", F.col("a"), F.col("b")))
+    out = out.unionByName(rows(pairs.where(tied > DIFFERS), "pair", F.col("a"), F.col("b")))
     numbers = of(DOT_PAIR).where("a = '##' and n >= 3").join(odds.select("lang", "b", "inner", "start"), ["lang", "b"], "left")
     numbers = numbers.where(F.coalesce("inner", F.lit(0)) + F.coalesce("start", F.lit(0)) < F.col("n"))
     out = out.unionByName(rows(numbers, "pair", F.lit("##."), F.col("b")))
