@@ -19,12 +19,14 @@ def butterworth(n: int, cell: float, wavelength: float, order: int = 5) -> np.nd
 
 
 def smoothed(magnitude: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Spectrum magnitude smoothed by a small separable window, wrapped at the edges."""
-    w = window / window.sum()
-    half = len(w) // 2
+    """Spectrum magnitude (zero frequency first) smoothed by a small separable window about the middle of the spectrum, zero beyond it."""
+    w, half = window / window.sum(), len(window) // 2
+    m = np.fft.fftshift(magnitude, axes=(-2, -1))
     for axis in (-2, -1):
-        magnitude = sum(w[k] * np.roll(magnitude, half - k, axis) for k in range(len(w)))
-    return magnitude
+        size = m.shape[axis]
+        wide = np.pad(m, [(half, half) if a == m.ndim + axis else (0, 0) for a in range(m.ndim)])
+        m = sum(w[k] * np.take(wide, range(k, k + size), axis) for k in range(len(w)))
+    return np.fft.ifftshift(m, axes=(-2, -1))
 
 
 def adaptive_response(spectrum: np.ndarray, low: np.ndarray, alpha: float, beta: float) -> np.ndarray:
@@ -43,20 +45,31 @@ def tiles(size: int, window: int, hop: int) -> list[int]:
     return starts if starts[-1] + window >= size else [*starts, size - window]
 
 
-def overlap_add(grid: np.ndarray, window: int, hop: int, filtered) -> np.ndarray:
-    """A grid filtered tile by tile with a tent weight; `filtered` maps a padded tile to its filtered values."""
-    rows, cols = grid.shape
+def pyramid(window: int, least: int = 0) -> np.ndarray:
+    """Weight of a tile: what it is from the nearest edge along either axis, summed."""
+    up = np.arange(window // 2) + least
+    ramp = np.r_[up, up[::-1]] if window % 2 == 0 else np.r_[up, window // 2 + least, up[::-1]]
+    return np.add.outer(ramp, ramp).astype(float)
+
+
+def overlap_add(grid: np.ndarray, window: int, hop: int, filtered, weight: np.ndarray) -> np.ndarray:
+    """A grid filtered tile by tile and summed by weight; `filtered` maps a tile to its filtered values.
+
+    The weight of a tile that was moved back to end with the grid moves with the rest of its axis: it starts at 0 for what was skipped.
+    """
     out = np.zeros(grid.shape, complex)
     total = np.zeros(grid.shape)
-    tent = 1 - np.abs(np.linspace(-1, 1, window + 2)[1:-1])
-    weight = np.outer(tent, tent) + 1e-6
-    for i in tiles(rows, window, hop):
-        for j in tiles(cols, window, hop):
+    moved = lambda k, i: k * hop - i if k * hop > i else 0
+    for m, i in enumerate(tiles(grid.shape[0], window, hop)):
+        for n, j in enumerate(tiles(grid.shape[1], window, hop)):
             tile = grid[i : i + window, j : j + window]
-            w = weight[: tile.shape[0], : tile.shape[1]]
+            a, b = moved(m, i), moved(n, j)
+            w = np.zeros((window, window))
+            w[a:, b:] = weight[: window - a, : window - b]
+            w = w[: tile.shape[0], : tile.shape[1]]
             out[i : i + window, j : j + window] += w * filtered(tile)
             total[i : i + window, j : j + window] += w
-    return out / total
+    return np.divide(out, total, out=out, where=total > 0)
 
 
 def clap(grid: np.ndarray, cell: float = 50.0, window: int = 24, pad: int = 8, wavelength: float = 800.0, alpha: float = 1.0, beta: float = 0.3) -> np.ndarray:
@@ -70,7 +83,7 @@ def clap(grid: np.ndarray, cell: float = 50.0, window: int = 24, pad: int = 8, w
         spectrum = np.fft.fft2(padded)
         return np.fft.ifft2(spectrum * adaptive_response(spectrum, low, alpha, beta))[: tile.shape[0], : tile.shape[1]]
 
-    return overlap_add(np.nan_to_num(grid), window, max(1, window // 4), one)
+    return overlap_add(np.nan_to_num(grid), window, max(1, window // 4), one, pyramid(window) + 1e-6)
 
 
 def clap_windows(windows: np.ndarray, cell: float = 50.0, wavelength: float = 800.0, alpha: float = 1.0, beta: float = 0.3) -> np.ndarray:
@@ -79,20 +92,27 @@ def clap_windows(windows: np.ndarray, cell: float = 50.0, wavelength: float = 80
     return np.fft.ifft2(spectrum * adaptive_response(spectrum, butterworth(windows.shape[-1], cell, wavelength), alpha, beta))
 
 
-def goldstein(grid: np.ndarray, window: int = 32, alpha: float = 0.8) -> np.ndarray:
-    """Power-spectrum filter |F|^alpha by overlapping tiles; the size of each value stays as it was."""
+def goldstein(grid: np.ndarray, window: int = 32, alpha: float = 0.8, low: bool = False) -> np.ndarray:
+    """Power-spectrum filter |F|^alpha by overlapping tiles padded by a quarter; the size of each value stays as it was.
+
+    low: a Gaussian low-pass of the spectrum in its place, an eighth of its width wide.
+    """
+    n = window + max(1, round(window / 4))
+    wide = np.fft.ifftshift(gauss_window(n, 16.0))
 
     def one(tile):
-        n = window
         padded = np.zeros((n, n), complex)
         padded[: tile.shape[0], : tile.shape[1]] = tile
         spectrum = np.fft.fft2(padded)
-        h = smoothed(np.abs(spectrum), gauss_window(7))
-        middle = np.median(h)
-        h = (h / middle if middle > 0 else np.ones_like(h)) ** alpha
+        if low:
+            h = np.outer(wide, wide)
+        else:
+            h = smoothed(np.abs(spectrum), gauss_window(7))
+            middle = np.median(h)
+            h = (h / middle if middle > 0 else np.ones_like(h)) ** alpha
         return np.fft.ifft2(spectrum * h)[: tile.shape[0], : tile.shape[1]]
 
-    found = overlap_add(np.nan_to_num(grid), window, max(1, window // 2), one)
+    found = overlap_add(np.nan_to_num(grid), window, max(1, window // 2), one, pyramid(window, 1))
     return np.abs(grid) * np.exp(1j * np.angle(found))
 
 
@@ -101,14 +121,16 @@ def upsampled(values: np.ndarray, factor: int = 10) -> np.ndarray:
     half = 10 * factor
     k = np.arange(-half, half + 1)
     taps = np.sinc(k / factor) * np.kaiser(2 * half + 1, 5.0)
+    taps *= factor / taps.sum()
     spread = np.zeros(len(values) * factor)
     spread[::factor] = values
     return np.convolve(spread, taps, "full")[half : half + len(spread)]
 
 
-def random_coherence(baseline: np.ndarray, wraps: float, n: int = 300_000, seed: int = 2005, chunk: int = 30_000) -> np.ndarray:
+def random_coherence(baseline: np.ndarray, wraps: float, n: int = 300_000, seed: int = 2005, chunk: int = 30_000, pairs: list[tuple[int, int]] | None = None) -> np.ndarray:
     """Histogram in 100 bins of the coherence that random phases reach: the null model of the trial search.
 
+    pairs: of a pair network, whose phases are differences of random images; baseline is then that of the pairs.
     One stream of random numbers in one task, so thresholds are the same wherever it runs.
     """
     from siltgrid.operators.topofit import topofit
@@ -116,25 +138,28 @@ def random_coherence(baseline: np.ndarray, wraps: float, n: int = 300_000, seed:
     rng = np.random.RandomState(seed)
     counts = np.zeros(100, np.int64)
     for start in range(0, n, chunk):
-        phase = 2 * np.pi * rng.rand(min(chunk, n - start), len(baseline))
+        phase = 2 * np.pi * rng.rand(min(chunk, n - start), 1 + max(map(max, pairs)) if pairs else len(baseline))
+        if pairs:
+            first, second = np.array(pairs).T
+            phase = phase[:, second] - phase[:, first]
         coh = topofit(np.exp(1j * phase), baseline, wraps)[2]
         counts += np.bincount(np.minimum((coh * 100).astype(int), 99), minlength=100)
     return counts
 
 
 def weights_from_null(observed: np.ndarray, null: np.ndarray, low: int = 31) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of each coherence bin of a thousand, scaled null): (1 - chance of being random)^2.
+    """(weight at each thousandth of coherence, 0 to 1; scaled null): (1 - chance of being random)^2.
 
-    The null is scaled to the observed counts of the lowest bins, its share smoothed by a seven-point Gaussian and upsampled tenfold.
+    The null is scaled to the observed counts of the `low` lowest bins, where everything is random; above its last filled bin nothing is. Its
+    share is smoothed by a causal seven-point Gaussian that starts from 1, and upsampled tenfold.
     """
-    scale = observed[:low].sum() / max(1, null[:low].sum())
-    scaled = null * scale
-    chance = np.divide(scaled, observed, out=np.ones(100), where=observed > 0)
+    scaled = null * (observed[:low].sum() / max(1, null[:low].sum()))
+    chance = scaled / np.where(observed > 0, observed, 1)
     chance[:low] = 1
-    chance = np.clip(chance, 0, 1)
+    chance[np.max(np.flatnonzero(null), initial=-1) + 1 :] = 0
     w = gauss_window(7)
-    chance = np.convolve(np.r_[np.ones(7), chance, np.zeros(7)], w / w.sum(), "same")[7:-7]
-    return (1 - np.clip(upsampled(chance), 0, 1)) ** 2, scaled
+    chance = np.convolve(np.r_[np.ones(7), np.minimum(chance, 1)], w / w.sum())[7:107]
+    return (1 - upsampled(np.r_[1, chance])[:1001]) ** 2, scaled
 
 
 def coherence_threshold(observed: np.ndarray, null: np.ndarray, most: float, by_share: bool) -> float | None:

@@ -1,4 +1,12 @@
-"""Phase unwrapping in time along arcs and in space on the grid."""
+"""Phase unwrapping in time along arcs and in space on the grid.
+
+Filled cells of the unwrap grid are nodes; cells without points belong to the nearest node, and arcs join nodes whose cells touch. The series of
+each arc, less its look-angle slope, is unwrapped in time; what time says of an arc (its smooth difference) and how noisy it is guide
+the unwrapping of each image in space. Arcs are local, so they are rows of a table; an image's grid is one group.
+
+Methods: 2D takes nothing from time; 3D_FULL smooths arc series about a single reference; the others (3D, 3D_NEW with pairs, 3D_QUICK,
+3D_SMALL_DEF) invert arcs to image series, smooth those and put them together again. A single reference promotes 3D and 3D_NEW to 3D_FULL.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +15,13 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgrid.functions.kernels import goldstein
-from siltgrid.operators.mesh import grid_arcs, integrate, nearest_nodes
-from siltgrid.session import spread
+from siltgrid.operators.mesh import grid_arcs, nearest_nodes
+from siltgrid.operators.network import design
+from siltgrid.session import spread, stored
 
 
 def wrap(x: np.ndarray) -> np.ndarray:
@@ -37,36 +47,103 @@ def smooth_in_time(dph: np.ndarray, day: np.ndarray, width: float) -> tuple[np.n
     return np.concatenate([smooth[:, :1], smooth[:, :1] + np.cumsum(steps, axis=1)], axis=1), noise
 
 
-def arcs_in_time(dph: np.ndarray, day: np.ndarray, reference: int, width: float = 365.0, most_noise: float = 1.2) -> np.ndarray:
-    """Unwrapped series of arcs, 0 at the reference; arcs noisier than `most_noise` are NaN."""
-    smooth, noise = smooth_in_time(dph, day, width)
-    out = smooth + noise
-    out = out - out[:, [reference]]
-    bad = noise.std(axis=1, ddof=1) > most_noise if dph.shape[1] > 1 else np.zeros(len(dph), bool)
-    out[bad] = np.nan
-    return out
+def look_angle_series(pairs: list[tuple[int, int]], day: np.ndarray, bperp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, baselines): steps between images that follow each other, as signed sums of pairs, in which little deformation stands against the slope.
+
+    Pairs of successive images where they span the stack; else differences of successive pairs of the image with most pairs, sorted by time; else all pairs.
+    """
+    p, n = np.array(pairs), len(day)
+    one = np.flatnonzero(np.abs(p[:, 1] - p[:, 0]) == 1)
+    if len(one) >= n - 1:
+        return np.eye(len(p))[one], bperp[one]
+    count = np.bincount(p.ravel(), minlength=n)
+    hub = int(count.argmax())
+    if count[hub] >= n - 2:
+        of = np.flatnonzero((p == hub).any(1))
+        rows = np.zeros((len(of) + 1, len(p)))  # each image less the hub; the hub itself is 0
+        rows[np.arange(len(of)), of] = np.where(p[of, 0] == hub, 1, -1)
+        images = np.r_[p[of].sum(1) - hub, hub]
+        rows = np.diff(rows[np.argsort(day[images], kind="stable")], axis=0)
+        return rows, rows @ bperp
+    return np.eye(len(p)), bperp
 
 
 def search_arc_slope(dph: np.ndarray, baseline: np.ndarray, wraps: float) -> tuple[np.ndarray, np.ndarray]:
-    """(k, coherence) of arcs by trial search; a slope counts only where its peak leads the next one, outside its lobe, by 0.1."""
-    from siltgrid.operators.topofit import topofit
-
-    spread = np.ptp(baseline)
-    span = int(np.ceil(8 * wraps))
-    trials = np.arange(-span, span + 1)
-    coh = np.stack([np.abs((dph * np.exp(-1j * baseline / max(spread, 1e-9) * np.pi / 4 * t)).mean(1)) for t in trials], 1)
-    best = coh.argmax(1)
-    away = np.abs(trials[None, :] - trials[best][:, None]) > 4
-    second = np.where(away, coh, -1).max(1)
-    k, _, c, _, _ = topofit(dph, baseline, wraps)
-    sure = (coh[np.arange(len(coh)), best] - second > 0.1) & (c >= 0.31)
+    """(k, coherence) of unit arc series by trial search; a slope counts only where its peak leads every other one, outside its lobe, by
+    0.1, and where what it leaves is coherent (0.31)."""
+    width = float(np.ptp(baseline))
+    if width <= 0 or not len(dph):
+        return np.zeros(len(dph)), np.zeros(len(dph))
+    trials = np.arange(-int(np.ceil(8 * wraps)), int(np.ceil(8 * wraps)) + 1)
+    coh = np.abs(dph @ np.exp(-1j * np.outer(baseline / width * np.pi / 4, trials))) / dph.shape[1]
+    peak, at = coh.argmax(1), np.arange(len(trials))[None, :]
+    step = np.diff(coh, axis=1)
+    falls = np.where((step < 0) & (at[:, :-1] < peak[:, None]), at[:, :-1] + 1, 0).max(1, initial=0)
+    rises = np.where((step > 0) & (at[:, :-1] >= peak[:, None]), at[:, :-1], len(trials) - 1).min(1, initial=len(trials) - 1)
+    other = np.where((at >= falls[:, None]) & (at <= rises[:, None]), 0, coh).max(1)
+    k = np.pi / 4 / width * trials[peak]
+    left = dph * np.exp(-1j * k[:, None] * baseline)
+    angle = np.angle(left * np.conj(left.sum(1))[:, None])
+    k = k + (angle @ baseline) / (baseline @ baseline)
+    c = np.abs((dph * np.exp(-1j * k[:, None] * baseline)).mean(1))
+    sure = (coh.max(1) - other > 0.1) & (c >= 0.31)
     return np.where(sure, k, 0.0), c
 
 
-def unwrap_grid(phase: np.ndarray, guide: np.ndarray | None = None, cost: np.ndarray | None = None) -> np.ndarray:
+def promoted(method: str, pairs: list[tuple[int, int]]) -> tuple[str, bool]:
+    """(method, low-pass): 3D and 3D_NEW become 3D_FULL where all pairs share their first image, else they take a low-pass beside the filter."""
+    method = method.upper()
+    if method in ("3D", "3D_NEW"):
+        return ("3D_FULL", False) if len({i for i, _ in pairs}) == 1 else (method, True)
+    return method, False
+
+
+def unwrap_arcs(dph: np.ndarray, pairs: list[tuple[int, int]], day: np.ndarray, bperp: np.ndarray, method: str, width: float, wraps: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(difference, noise) of unit arc series over pairs, unwrapped in time; noise is NaN where time says nothing of an arc.
+
+    wraps: trial range of the look-angle slope, None for none. What an image holds beyond smooth motion and slope is noise.
+    """
+    k = np.zeros(len(dph))
+    if wraps is not None and len(bperp) >= 2 and np.ptp(bperp) > 0:
+        rows, b = look_angle_series(pairs, day, bperp)
+        steps = np.exp(1j * (np.angle(dph) @ rows.T))
+        k = search_arc_slope(steps, b, wraps * float(np.ptp(b)) / float(np.ptp(bperp)))[0]
+    slope = k[:, None] * bperp
+    dph = dph * np.exp(-1j * slope)
+    if method == "2D":
+        return np.angle(dph) + slope, np.full(dph.shape, np.nan)
+    if method == "3D_FULL":
+        first = {i for i, _ in pairs}
+        if len(first) != 1:
+            raise ValueError("3D_FULL needs pairs that share their first image")
+        hub, of = first.pop(), np.array([j for _, j in pairs])
+        images = np.r_[of, hub]  # the reference takes part, as a phase of 0
+        order = np.argsort(day[images], kind="stable")
+        sorted_series = np.concatenate([dph, np.ones((len(dph), 1))], 1)[:, order]
+        found, _ = smooth_in_time(sorted_series, day[images[order]], width)
+        smooth = np.empty_like(found)
+        smooth[:, order] = found
+        level = smooth[:, -1]  # the reference lies within half a turn of 0
+        smooth = (smooth - (level - wrap(level))[:, None])[:, :-1]
+        limit = 1.2
+    else:
+        g = design(pairs, len(day))
+        used = np.abs(g).sum(0) > 0
+        g, t = g[:, used], day[used]
+        series = np.concatenate([np.zeros((len(dph), 1)), np.angle(dph) @ np.linalg.pinv(g[:, 1:]).T], 1)
+        w = np.exp(-((t[:, None] - t[None, :]) ** 2) / (2 * width * width))
+        smooth = series @ (w / w.sum(1, keepdims=True)).T @ g.T
+        limit = 1.3 if method in ("3D_QUICK", "3D_SMALL_DEF") else np.inf
+    noise = wrap(np.angle(dph) - smooth)
+    noise[noise.std(1, ddof=1 if method == "3D_FULL" and noise.shape[1] > 1 else 0) > limit] = np.nan
+    return smooth + np.angle(dph * np.exp(-1j * smooth)) + slope, noise
+
+
+def unwrap_grid(phase: np.ndarray, guide: tuple | None = None, cost: np.ndarray | None = None, sigma: tuple | None = None) -> np.ndarray:
     """A wrapped phase grid unwrapped along the cheapest spanning tree of its touching cells; NaN cells are left out.
 
-    guide: expected phase differences, as the pair of (down, right) arrays, from unwrapping in time. cost: of each cell.
+    guide: expected phase differences, as the pair of (down, right) arrays, from unwrapping in time; sigma: their deviations in
+    radians, inf where nothing is expected. cost: of each cell.
     Where the wrapped grid has no residues the result is exact whatever the tree; re-wrapping always gives the input back.
     """
     rows, cols = phase.shape
@@ -76,6 +153,8 @@ def unwrap_grid(phase: np.ndarray, guide: np.ndarray | None = None, cost: np.nda
     step_right = wrap(phase[:, 1:] - phase[:, :-1] - right) + right
     c = cost if cost is not None else np.zeros(phase.shape)
     away_down, away_right = np.abs(step_down - down), np.abs(step_right - right)
+    if sigma is not None:  # first the sure steps, the surer the nearer to what is expected; then those of which nothing is known
+        away_down, away_right = (np.where(np.isfinite(s), a / np.maximum(s, 1e-3) + s, 1e6 + a) for a, s in zip((away_down, away_right), sigma))
     out = np.full(phase.shape, np.nan)
     for seed in zip(*np.nonzero(ok)):
         if np.isfinite(out[seed]):
@@ -100,42 +179,139 @@ def unwrap_grid(phase: np.ndarray, guide: np.ndarray | None = None, cost: np.nda
     return out
 
 
+def _dense(table: pa.Table, names: tuple[str, str] = ("re", "im")) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, grid of complex sums) of one image's cells; rows and columns start at its first cell."""
+    i, j = (table.column(c).to_numpy().astype(int) for c in ("gi", "gj"))
+    i0, j0 = (i.min(), j.min()) if len(i) else (0, 0)
+    grid = np.zeros((i.max() - i0 + 1, j.max() - j0 + 1) if len(i) else (0, 0), complex)
+    grid[i - i0, j - j0] = table.column(names[0]).to_numpy() + 1j * table.column(names[1]).to_numpy()
+    return i - i0, j - j0, grid
+
+
+def filtered_cells(cells: DataFrame, image: list[str], window: int = 32, alpha: float = 0.8, filtered: bool = True, low: bool = False) -> DataFrame:
+    """cells with `soft`: phase of each cell through the power-spectrum filter (and its low-pass), image by image."""
+    schema = T.StructType([*(cells.schema[k] for k in image), *(T.StructField(c, T.IntegerType()) for c in ("gi", "gj")), *(T.StructField(c, T.DoubleType()) for c in ("re", "im", "soft"))])
+
+    def one(table: pa.Table) -> pa.Table:
+        i, j, grid = _dense(table)
+        size = np.abs(grid)
+        unit = np.divide(grid, size, out=np.zeros_like(grid), where=size > 0)
+        if filtered and min(grid.shape) > 4:
+            unit = goldstein(unit, window, alpha, low)
+        return pa.table({**{k: table.column(k) for k in image}, **{c: table.column(c).cast(pa.int32()) for c in ("gi", "gj")}, "re": table.column("re"), "im": table.column("im"), "soft": np.angle(unit[i, j])})
+
+    return spread(cells.select(*image, "gi", "gj", "re", "im"), *image).groupBy(*image).applyInArrow(one, schema)
+
+
+def _unwrapped(i: np.ndarray, j: np.ndarray, grid: np.ndarray, soft: np.ndarray, guide=None) -> np.ndarray:
+    """Unwrapped phase of the filled cells. Cells without points take the phase of their nearest node, so that the tree crosses empty ground."""
+    nodes = np.stack([i, j], 1)
+    owner = nearest_nodes(grid.shape, nodes)
+    expected = guide(owner) if guide else None
+    unwrapped = unwrap_grid(soft[owner], *(() if expected is None else (expected[0], None, expected[1])))[i, j]
+    return unwrapped + np.angle(grid[i, j] * np.exp(-1j * unwrapped))
+
+
 def unwrap_images(cells: DataFrame, image: list[str], filtered: bool = True) -> DataFrame:
-    """(image keys, gi, gj, ph): the unwrapped grid of each image from its complex sums re, im.
+    """(image keys, gi, gj, ph): the unwrapped grid of each image from its complex sums re, im, in space alone.
 
     One group is one image on the unwrap grid (cells of some hundred metres), a size bounded by the scene.
     """
-    schema = T.StructType([*(cells.schema[k] for k in image), *(T.StructField(c, T.IntegerType()) for c in ("gi", "gj")), T.StructField("ph", T.DoubleType())])
+    soft = filtered_cells(cells, image, filtered=filtered)
+    schema = T.StructType([*(soft.schema[k] for k in image), *(T.StructField(c, T.IntegerType()) for c in ("gi", "gj")), T.StructField("ph", T.DoubleType())])
 
     def one(table: pa.Table) -> pa.Table:
-        f = table.to_pandas()
-        i, j = f["gi"].to_numpy(int), f["gj"].to_numpy(int)
-        i0, j0 = i.min(), j.min()
-        grid = np.zeros((i.max() - i0 + 1, j.max() - j0 + 1), complex)
-        z = f["re"].to_numpy(float) + 1j * f["im"].to_numpy(float)
-        size = np.abs(z)
-        grid[i - i0, j - j0] = np.divide(z, size, out=np.zeros_like(z), where=size > 0)
-        soft = goldstein(grid) if filtered and min(grid.shape) > 4 else grid
-        # cells without points take the phase of the nearest node, so that the tree crosses empty ground
-        nodes = np.stack([i - i0, j - j0], 1)
-        owner = nearest_nodes(grid.shape, nodes)
-        spread = np.angle(soft[nodes[owner, 0], nodes[owner, 1]])
-        unwrapped = unwrap_grid(spread)
-        residual = np.angle(grid[i - i0, j - j0] * np.exp(-1j * unwrapped[i - i0, j - j0]))
-        ph = unwrapped[i - i0, j - j0] + residual
-        return pa.table({**{k: table.column(k) for k in image}, "gi": f["gi"].to_numpy(np.int32), "gj": f["gj"].to_numpy(np.int32), "ph": ph})
+        i, j, grid = _dense(table)
+        ph = _unwrapped(i, j, grid, table.column("soft").to_numpy())
+        return pa.table({**{k: table.column(k) for k in image}, "gi": table.column("gi"), "gj": table.column("gj"), "ph": ph})
 
-    return spread(cells.select(*image, "gi", "gj", "re", "im"), *image).groupBy(*image).applyInArrow(one, schema)
+    return soft.groupBy(*image).applyInArrow(one, schema)
+
+
+_ARCS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("ai", "aj", "bi", "bj")])
+
+
+def cell_arcs(nodes: DataFrame) -> DataFrame:
+    """(ai, aj, bi, bj): arcs between the nearest-node areas of the filled cells (gi, gj). The occupied grid is one group: two numbers a cell."""
+
+    def one(table: pa.Table) -> pa.Table:
+        at = np.unique(np.stack([table.column(c).to_numpy().astype(int) for c in ("gi", "gj")], 1), axis=0)
+        least = at.min(0)
+        arcs = grid_arcs(nearest_nodes(tuple(at.max(0) - least + 1), at - least))[0] if len(at) else np.empty((0, 2), int)
+        ends = np.concatenate([at[arcs[:, 0]], at[arcs[:, 1]]], 1).astype(np.int32)
+        return pa.table({c: ends[:, k] for k, c in enumerate(_ARCS.names)})
+
+    return nodes.select("gi", "gj", F.lit(1).alias("all")).groupBy("all").applyInArrow(one, _ARCS)
+
+
+def unwrap_space_time(
+    cells: DataFrame, pairs: list[tuple[int, int]], day: list[float], bperp: list[float], method: str = "3D", width: float = 730.0, wraps: float | None = None,
+    window: int = 32, alpha: float = 0.8, filtered: bool = True,
+) -> DataFrame:
+    """(img, gi, gj, ph): every image (or pair) unwrapped in space, guided by what its arcs are in time.
+
+    cells: img (place in pairs), gi, gj, re, im. Cells are nodes where every image has one; others are guided by nothing.
+    """
+    method, low = promoted(method, pairs)
+    soft = stored(filtered_cells(cells, ["img"], window, alpha, filtered, low), "unwrap-cells")
+    if method == "2D":
+        return soft.groupBy("img").applyInArrow(lambda t: _alone(t), _IMAGE)
+    n = len(pairs)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("img", "soft"))), lambda s: s.soft)
+    nodes = soft.groupBy("gi", "gj").agg(ordered.alias("s"), F.count("*").alias("n")).where(F.col("n") == n)
+    nodes = stored(nodes.select("gi", "gj", "s"), "unwrap-nodes")
+    end = lambda k: nodes.select(F.col("gi").alias(f"{k}i"), F.col("gj").alias(f"{k}j"), F.col("s").alias(f"s{k}"))
+    arcs = cell_arcs(nodes).join(end("a"), ["ai", "aj"]).join(end("b"), ["bi", "bj"]).select(*_ARCS.names, "sa", "sb")
+    schema = T.StructType([*_ARCS.fields, T.StructField("img", T.IntegerType()), T.StructField("smooth", T.DoubleType()), T.StructField("sigma", T.DoubleType())])
+    days, base = np.asarray(day, float), np.asarray(bperp, float)
+
+    def run(batches):
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(m, n) for c in ("sa", "sb"))
+            difference, noise = unwrap_arcs(np.exp(1j * (b - a)), pairs, days, base, method, width, wraps)
+            sigma = noise.std(1, ddof=1) if n > 1 else np.zeros(m)
+            ends = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in _ARCS.names]
+            img = np.tile(np.arange(n, dtype=np.int32), m)
+            smooth = (difference - noise).ravel()
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(img), pa.array(np.nan_to_num(smooth)), pa.array(np.where(np.isnan(sigma), np.inf, sigma).repeat(n))], names=schema.names)
+
+    guides = arcs.mapInArrow(run, schema)
+    return soft.groupBy("img").cogroup(spread(guides, "img").groupBy("img")).applyInArrow(_guided, _IMAGE)
+
+
+_IMAGE = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("img", "gi", "gj")), T.StructField("ph", T.DoubleType())])
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    i, j, grid = _dense(table)
+    return pa.table({"img": table.column("img").cast(pa.int32()), "gi": table.column("gi"), "gj": table.column("gj"), "ph": _unwrapped(i, j, grid, table.column("soft").to_numpy())})
+
+
+def _guided(table: pa.Table, arcs: pa.Table) -> pa.Table:
+    """One image's grid unwrapped with the guide and deviation of each arc."""
+    if not table.num_rows:
+        return pa.table({c: pa.array([], pa.float64() if c == "ph" else pa.int32()) for c in _IMAGE.names})
+    i, j, grid = _dense(table)
+    i0, j0 = (table.column(c).to_numpy().min() for c in ("gi", "gj"))
+    number = np.full(grid.shape, -1)
+    number[i, j] = np.arange(len(i))
+    a, b = (number[arcs.column(f"{e}i").to_numpy() - i0, arcs.column(f"{e}j").to_numpy() - j0] for e in "ab")
+    smooth, sigma = arcs.column("smooth").to_numpy(), arcs.column("sigma").to_numpy()
+    key = np.minimum(a, b) * len(i) + np.maximum(a, b)
+    order = np.argsort(key)
+    key, value, spread_of = key[order], np.where(a < b, smooth, -smooth)[order], sigma[order]
 
+    def guide(owner):
+        found = []
+        for u, v in ((owner[:-1], owner[1:]), (owner[:, :-1], owner[:, 1:])):
+            want = np.minimum(u, v) * len(i) + np.maximum(u, v)
+            at = np.searchsorted(key, want).clip(0, max(0, len(key) - 1))
+            known = (key[at] == want) & (u != v) if len(key) else np.zeros(u.shape, bool)
+            expected = np.where(known, np.where(u < v, 1, -1) * (value[at] if len(key) else 0), 0.0)
+            found.append((expected, np.where(u == v, 0.0, np.where(known, spread_of[at] if len(key) else 0, np.inf))))
+        return tuple(zip(*found))
 
-def unwrap_arcs_to_nodes(nodes: np.ndarray, phase: np.ndarray, day: np.ndarray, reference: int, grid_shape: tuple[int, int], width: float = 365.0) -> np.ndarray:
-    """Unwrapped phases (nodes, images) of filled grid cells: arcs between touching nearest-node areas, unwrapped in time, integrated in space."""
-    arcs, _, _ = grid_arcs(nearest_nodes(grid_shape, nodes))
-    if not len(arcs):
-        return np.zeros(phase.shape)
-    dph = phase[arcs[:, 1]] * np.conj(phase[arcs[:, 0]])
-    series = arcs_in_time(dph, day, reference, width)
-    good = np.isfinite(series).all(1)
-    weight = np.where(good, 1.0, 1e-3)
-    fallback = np.angle(dph * np.conj(dph[:, [reference]]))
-    return integrate(arcs, np.where(good[:, None], np.nan_to_num(series), fallback), len(nodes), weight)
+    return pa.table({"img": table.column("img").cast(pa.int32()), "gi": table.column("gi"), "gj": table.column("gj"), "ph": _unwrapped(i, j, grid, table.column("soft").to_numpy(), guide)})

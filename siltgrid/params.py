@@ -60,6 +60,8 @@ BY_MODE: dict[str, tuple[Any, Any]] = {
     "unwrap_method": ("3D_QUICK", "3D"),
     "merge_resample_size": (100.0, 0.0),
 }
+#: Parameters that name what there is one way for: the quick estimate, and a weight of the low-pass that no step uses.
+ONLY = {"quick_est_gamma_flag": "y", "unwrap_alpha": 8.0}
 _SPELT = {"inf": math.inf, "-inf": -math.inf, "nan": math.nan}
 
 
@@ -109,6 +111,13 @@ class Params:
     def get(self, prefix: str) -> Any:
         return self.merged[self.name(prefix)]
 
+    def checked(self) -> Params:
+        """These parameters, if all they ask for is done: those in ONLY have one way each."""
+        for name, value in ONLY.items():
+            if self.get(name) != value:
+                raise ValueError(f"{name}: only {value!r} is done, not {self.get(name)!r}")
+        return self
+
     def set(self, prefix: str, value: Any, local: bool = False) -> Params:
         """A copy with another value; NaN puts the default back."""
         name, level = self.name(prefix), "local" if local else "base"

@@ -195,24 +195,48 @@ def test_integration_over_parts():
     assert np.allclose(got, want, atol=1e-6)
 
 
-def test_unwrap_grid_arcs():
-    """Six nodes on a 3 by 3 grid: incidences agree with the nearest-node map."""
-    nodes = np.array([[0, 0], [0, 1], [0, 2], [2, 0], [2, 1], [2, 2]])
-    owner = mesh.nearest_nodes((3, 3), nodes)
-    arcs, down, right = mesh.grid_arcs(owner)
-    assert down.shape == (2, 3) and right.shape == (3, 2)
-    for inc, a, b in ((down, owner[:-1], owner[1:]), (right, owner[:, :-1], owner[:, 1:])):
-        for at in np.ndindex(inc.shape):
-            k = inc[at]
-            assert (k == 0) == (a[at] == b[at])
-            if k:
-                assert tuple(arcs[abs(k) - 1]) == (min(a[at], b[at]), max(a[at], b[at])) and (k > 0) == (a[at] < b[at])
-    day = np.array([-24, -12, 0, 12, 24.0])
-    rate = np.array([0, 0.7, 1.4, 2.1, 2.8, 3.5])
-    truth = rate[:, None] * day / 12
-    got = unwrapping.unwrap_arcs_to_nodes(nodes, np.exp(1j * truth), day, 2, (3, 3), 1000.0)
-    assert np.isfinite(got).all()
-    assert np.allclose(unwrapping.wrap(got - truth - (got - truth)[:1]), 0, atol=0.2)
+def test_unwrap_grid_arcs(spark):
+    """Six points on a 3 by 3 grid that part by more than half a turn between dates: time tells how."""
+    cell = np.array([[0, 0], [0, 1], [0, 2], [2, 0], [2, 1], [2, 2]])
+    day, rate = np.array([-24.0, -12.0, 0.0, 12.0, 24.0]), 0.7 * np.arange(6)
+    owner = mesh.nearest_nodes((3, 3), cell)
+    arcs, rows, columns = mesh.grid_arcs(owner)
+    assert rows.shape == (2, 3) and columns.shape == (3, 2)
+    for at in zip(*np.nonzero(rows)):
+        e, (i, j) = rows[at], at
+        assert tuple(arcs[abs(e) - 1]) == tuple(sorted((owner[i, j], owner[i + 1, j]))) and (e > 0) == (owner[i, j] < owner[i + 1, j])
+    pairs_of, truth = [(2, k) for k in range(5) if k != 2], rate[:, None] * day[None] / 12
+    pairs_phase = truth[:, [j for _, j in pairs_of]] - truth[:, [2]]
+    cells = [(k, int(cell[p, 0]), int(cell[p, 1]), float(np.cos(v)), float(np.sin(v))) for p in range(6) for k, v in enumerate(pairs_phase[p])]
+    df = spark.createDataFrame(cells, "img int, gi int, gj int, re double, im double")
+    got = unwrapping.unwrap_space_time(df, pairs_of, day.tolist(), [10.0, -20.0, 30.0, 5.0], "3D", 6.0, None, filtered=False).toPandas()
+    out = np.full((6, 4), np.nan)
+    for r in got.itertuples():
+        out[[tuple(c) for c in cell.tolist()].index((r.gi, r.gj)), r.img] = r.ph
+    assert np.allclose((out - out[:1]) - (pairs_phase - pairs_phase[:1]), 0, atol=1e-6)
+
+
+@pytest.mark.parametrize("method,pairs_of", [("3D", [(5, k) for k in range(11) if k != 5]), ("3D_QUICK", [(k, k + d) for k in range(11) for d in (1, 2) if k + d < 11]), ("3D", [(k, k + d) for k in range(11) for d in (1, 2) if k + d < 11])])
+def test_arcs_in_time(method, pairs_of):
+    """Slope and motion of arcs, over a single reference and over a pair network."""
+    rng = np.random.RandomState(2)
+    day, b = 24.0 * np.arange(11), rng.uniform(-100, 100, 11)
+    speed, k = rng.uniform(-1, 1, 40) * (0.4 if method == "3D" and pairs_of[0][0] == 5 else 0.8), rng.uniform(-0.01, 0.01, 40)
+    series = speed[:, None] * day[None] / 24 + k[:, None] * b[None] + rng.normal(0, 0.05, (40, 11))
+    first, second = np.array(pairs_of).T
+    truth = series[:, second] - series[:, first]
+    base = b[second] - b[first]
+    kind, low = unwrapping.promoted(method, pairs_of)
+    assert (kind, low) == (("3D_FULL", False) if pairs_of[0][0] == 5 else (method, method == "3D"))
+    got, noise = unwrapping.unwrap_arcs(np.exp(1j * truth), pairs_of, day, base, kind, 730.0, 2.0)
+    assert np.isfinite(noise).all() and np.allclose(got, truth, atol=1e-6)
+
+
+def test_noisy_arcs_say_nothing():
+    rng = np.random.RandomState(3)
+    noise = unwrapping.unwrap_arcs(np.exp(1j * rng.uniform(-3.14, 3.14, (50, 40))), [(0, k) for k in range(1, 41)], 24.0 * np.arange(41), np.zeros(40), "3D_FULL", 730.0, None)[1]
+    assert np.isnan(noise).all(1).mean() > 0.9 and (np.isnan(noise).all(1) | np.isfinite(noise).all(1)).all()
+    assert np.isnan(unwrapping.unwrap_arcs(np.ones((2, 3), complex), [(0, 1), (1, 2), (0, 2)], np.arange(3.0), np.zeros(3), "2D", 1.0, None)[1]).all()
 
 
 def test_unwrapping_rewraps_to_input():
