@@ -6,6 +6,7 @@ scheme (BIL, BIP, BSQ), skip (bytes), block (rows of an input partition). Sideca
 
 from __future__ import annotations
 
+import json
 import os
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import DoubleType, FloatType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 #: NumPy types of complex float, complex short and real samples.
 DTYPES = {"c64": ("f4", 2), "c32s": ("i2", 2), "f4": ("f4", 1), "f8": ("f8", 1), "u1": ("u1", 1)}
@@ -111,6 +112,90 @@ class RasterReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(az), pa.array(rg), *(pa.array(v[..., k].ravel().astype(out)) for k in range(parts))], names=["az", "rg", *names])
 
 
+#: Bytes of samples that one task of a stack holds at a time.
+TASK_BYTES = 32 << 20
+
+
+class StackSource(DataSource):
+    """Several rasters of one shape as one table: a task reads the same rows of every file, so what belongs to a pixel comes out in one row and
+    needs no shuffle. Options: paths (a JSON list), width, length, dtype, endian."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "raster_stack"
+
+    def schema(self) -> StructType:
+        parts = ["re", "im"] if self.options.get("dtype", "c64").startswith("c") else ["v"]
+        return StructType([StructField("az", IntegerType()), StructField("rg", IntegerType()), *(StructField(c, ArrayType(DoubleType())) for c in parts)])
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return StackReader(dict(self.options))
+
+
+class StackReader(DataSourceReader):
+    def __init__(self, options: dict):
+        o = {k.lower(): v for k, v in options.items()}
+        self.paths, self.width = json.loads(o["paths"]), int(o["width"])
+        base, self.parts = DTYPES[o.get("dtype", "c64")]
+        self.dtype = np.dtype((">" if o.get("endian", "little") == "big" else "<") + base)
+        self.row = self.width * self.parts * self.dtype.itemsize
+        self.length = int(o.get("length") or -(-max((os.path.getsize(p) for p in self.paths), default=0) // self.row))
+
+    def partitions(self):
+        step = max(1, TASK_BYTES // max(1, self.width * self.parts * 8 * len(self.paths)))
+        return [Rows(i, min(self.length, i + step)) for i in range(0, self.length, step)] or [Rows(0, 0)]
+
+    def read(self, partition: Rows):
+        rows, k = partition.last - partition.first, len(self.paths)
+        if not rows:
+            return
+        z = np.zeros((k, rows * self.width * self.parts))
+        for n, path in enumerate(self.paths):
+            with open(path, "rb") as file:
+                file.seek(partition.first * self.row)
+                raw = file.read(rows * self.row)
+            v = np.frombuffer(raw[: len(raw) // self.dtype.itemsize * self.dtype.itemsize], self.dtype)
+            z[n, : len(v)] = v  # a file that ends early is padded with zeros
+        z = z.reshape(k, rows * self.width, self.parts)
+        at = pa.array(np.arange(0, rows * self.width * k + 1, k, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(z[:, :, p].T).ravel())) for p in range(self.parts)]
+        az = np.repeat(np.arange(partition.first, partition.last, dtype=np.int32), self.width)
+        rg = np.tile(np.arange(self.width, dtype=np.int32), rows)
+        yield pa.RecordBatch.from_arrays([pa.array(az), pa.array(rg), *lists], names=["az", "rg", *(["re", "im"] if self.parts == 2 else ["v"])])
+
+
+def read_stack(spark: SparkSession, paths: list[str], width: int, **options) -> DataFrame:
+    """(az, rg, re array, im array) or (az, rg, v array) over the files, in their order."""
+    spark.dataSource.register(StackSource)
+    reader = spark.read.format("raster_stack").option("paths", json.dumps([str(p) for p in paths])).option("width", str(width))
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load()
+
+
+def phase_table(spark: SparkSession, path: str, n: int, columns: int) -> DataFrame:
+    """(row, ph array) of a file of complex samples column by column: n candidates of each image after another.
+
+    The file's size must be that of n times columns samples.
+    """
+    if os.path.getsize(path) != n * columns * 8:
+        raise ValueError(f"{path}: {os.path.getsize(path)} bytes are not {n} candidates of {columns} images")
+    schema = StructType([StructField("row", IntegerType()), StructField("ph", ArrayType(DoubleType()))])
+
+    def run(batches):
+        z = np.memmap(path, "<c8", "r", shape=(columns, n))
+        for batch in batches:
+            first, last = (batch.column(c).to_pylist() for c in ("first", "last"))
+            for a, b in zip(first, last):
+                ph = np.angle(z[:, a:b]).T
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ph.size + 1, columns, dtype=np.int32)), pa.array(ph.ravel().astype(float)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b, dtype=np.int32)), lists], names=schema.names)
+
+    step = max(1, TASK_BYTES // (8 * columns))
+    blocks = [(a, min(n, a + step)) for a in range(0, n, step)]
+    return spark.createDataFrame(blocks, "first int, last int").repartition(max(1, len(blocks))).mapInArrow(run, schema)
+
+
 def read_raster(spark: SparkSession, path: str, **options) -> DataFrame:
     """(az, rg, value) or (az, rg, re, im) of a raster file on storage that all executors see."""
     spark.dataSource.register(RasterSource)
