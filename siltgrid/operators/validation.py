@@ -30,3 +30,38 @@ def shared_fields(left: DataFrame, right: DataFrame, aliases: dict[str, str] | N
     """Columns both tables have, by name or alias."""
     aliases = aliases or {}
     return [(c, aliases.get(c, c)) for c in left.columns if aliases.get(c, c) in right.columns]
+
+
+def sampled(df: DataFrame, keys: list[str], most: int = 200_000) -> DataFrame:
+    """At most `most` rows at equal strides of the hashed key: the same rows of any table with these keys, whatever its order."""
+    n = df.count()
+    stride = -(-n // most)
+    return df if stride <= 1 else df.where(F.pmod(F.xxhash64(*keys), F.lit(stride)) == 0)
+
+
+def report(left: DataFrame, right: DataFrame, keys: list[str], aliases: dict[str, str] | None = None, phases: tuple[str, ...] = (), most: int | None = None) -> list[dict]:
+    """A dict per field that both tables hold, by name or alias: rows on each side, differences, and whether it is compared as a phase.
+
+    Arrays are compared element by element as far as both reach, and their sizes are told. most: compare a strided sample of about that many rows.
+    """
+    if most:
+        left, right = sampled(left, keys, most), sampled(right, keys, most)
+    out = []
+    for a, b in shared_fields(left, right, aliases):
+        if a in keys:
+            continue
+        is_array = left.schema[a].dataType.typeName() == "array"
+        x, y = left.select(*keys, F.col(a).alias("v")), right.select(*keys, F.col(b).alias("v"))
+        over = keys
+        entry = {"field": a, "other": b, "is_phase": a in phases}
+        if is_array:
+            sizes = [r[0] for r in (df.agg(F.max(F.size("v"))).first() for df in (x, y))]
+            entry["sizes"] = sizes
+            x, y = (df.select(*keys, F.posexplode(F.slice("v", 1, min(s or 0 for s in sizes))).alias("at", "v")) for df in (x, y))
+            over = [*keys, "at"]
+        elif left.schema[a].dataType.typeName() not in ("double", "float", "integer", "long", "short", "byte", "boolean"):
+            differs = x.join(y.withColumnRenamed("v", "w"), keys).where(~F.col("v").eqNullSafe(F.col("w"))).count()
+            out.append({**entry, "n_left": x.count(), "n_right": y.count(), "n_differs": differs})
+            continue
+        out.append({**entry, **difference(x.withColumn("v", F.col("v").cast("double")), y.withColumn("v", F.col("v").cast("double")), over, "v", a in phases).first().asDict()})
+    return out

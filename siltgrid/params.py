@@ -85,6 +85,15 @@ def read_json(path: str | Path) -> dict[str, Any]:
     return {k: _read(v) for k, v in json.loads(p.read_text()).items()} if p.is_file() else {}
 
 
+def read_file(stem: Path) -> dict[str, Any]:
+    """Parameters of stem.json, else of stem.mat, else none."""
+    if stem.with_suffix(".json").is_file() or not stem.with_suffix(".mat").is_file():
+        return read_json(stem.with_suffix(".json"))
+    from siltgrid.sources.matlab import parameters
+
+    return {k: _read(v) for k, v in parameters(stem.with_suffix(".mat")).items()}
+
+
 @dataclass(frozen=True)
 class Params:
     """Values by name: local before base before default. Never changed in place."""
@@ -136,10 +145,10 @@ class Params:
 
     @classmethod
     def load(cls, folder: str | Path) -> Params:
-        """Base from the parent's or the folder's parms.json, local from localparms.json."""
+        """Base from the parent's and the folder's parms, local from the folder's localparms: .json, and .mat where there is none."""
         here = Path(folder)
-        base = read_json(here.parent / "parms.json") | read_json(here / "parms.json")
-        return cls(base, read_json(here / "localparms.json"), str(base.get("small_baseline_flag", "n")).lower() == "y")
+        base = read_file(here.parent / "parms") | read_file(here / "parms")
+        return cls(base, read_file(here / "localparms"), str(base.get("small_baseline_flag", "n")).lower() == "y")
 
     def write(self, path: str | Path) -> None:
         Path(path).write_text(json.dumps({k: _spell(v) for k, v in self.merged.items()}, indent=1, sort_keys=True))
