@@ -96,7 +96,9 @@ def polynomial_ramps(samples: DataFrame, keys: list[str], phase: str, degree: fl
             v = np.asarray(v, float)
             if v[-1] <= n + 2:
                 return None
-            return np.linalg.lstsq(v[: n * n].reshape(n, n), v[n * n : n * n + n], rcond=None)[0].tolist()
+            a = v[: n * n].reshape(n, n)
+            scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))  # terms of like size, so that none is lost to rounding
+            return (scale * np.linalg.lstsq(a * np.outer(scale, scale), v[n * n : n * n + n] * scale, rcond=None)[0]).tolist()
 
         return rows.map(one)
 

@@ -144,7 +144,10 @@ BOUNDS = patches.patch_bounds(26000, 7200, 4, 3, 200)
 _values = ", ".join(str(b) for b in BOUNDS)
 
 
-@query(f"SELECT * FROM (VALUES {_values}) t(patch, rg1, rg2, az1, az2, in_rg1, in_rg2, in_az1, in_az2)")
+@query("""WITH r AS (SELECT i, i * (26000 // 4) + 1 AS a, CASE WHEN i = 3 THEN 26000 ELSE (i + 1) * (26000 // 4) END AS b FROM range(4) t(i)),
+z AS (SELECT j, j * (7200 // 3) + 1 AS a, CASE WHEN j = 2 THEN 7200 ELSE (j + 1) * (7200 // 3) END AS b FROM range(3) t(j))
+SELECT CAST(i * 3 + j + 1 AS INTEGER) AS patch, CAST(greatest(1, r.a - 200) AS INTEGER) AS rg1, CAST(least(26000, r.b + 200) AS INTEGER) AS rg2, CAST(greatest(1, z.a - 200) AS INTEGER) AS az1, CAST(least(7200, z.b + 200) AS INTEGER) AS az2,
+  CAST(r.a AS INTEGER) AS in_rg1, CAST(r.b AS INTEGER) AS in_rg2, CAST(z.a AS INTEGER) AS in_az1, CAST(z.b AS INTEGER) AS in_az2 FROM r, z""")
 def patch_bounds(spark, sf):
     return spark.createDataFrame(BOUNDS, patches.COLUMNS)
 
@@ -562,6 +565,16 @@ def sb_residual(spark, sf):
     return x.select("vec_id", r6(F.sqrt(sq / len(NETWORK))).alias("rms"))
 
 
+@query("SELECT vec_id, 0.0 AS worst FROM embeddings")
+def sb_normal_equations(spark, sf):
+    """What the inversion leaves must be orthogonal to the network: its largest sum around an image, and the reference's own phase."""
+    g = network.design(NETWORK, N_IMAGES)
+    left = (g.T @ (g @ INVERSE - np.eye(len(NETWORK))))[1:]
+    x = _pair_phases(spark, sf).withColumn("n", network.invert("p", left)).withColumn("x", network.invert("p", INVERSE))
+    worst = F.greatest(F.array_max(F.transform("n", F.abs)), F.abs(F.col("x")[0]))
+    return x.select("vec_id", r6(worst).alias("worst"))
+
+
 # ---------------------------------------------------------------- correlated error
 
 
@@ -618,11 +631,22 @@ def deramped_phase(spark, sf):
     return correction.deramped(_placed_phases(spark, sf), ["stack_id", "image_ix"], "ph").select("ps_id", "image_ix", r6("ph", 5).alias("ph"))
 
 
-@query()
+_TERMS2 = ["1.0", "x", "y", "x * y", "x * x", "y * y"]
+_products = ", ".join(f"sum(({a}) * ({b})) AS s{i}{j}" for i, a in enumerate(_TERMS2) for j, b in enumerate(_TERMS2))
+_sides = ", ".join(f"sum(({a}) * ph) AS t{i}" for i, a in enumerate(_TERMS2))
+
+
+@query(f"""WITH {PH}, {PT}, pl AS (SELECT stack_id, image_ix, count(*) AS n FROM (SELECT ph.* FROM ph JOIN pt USING (ps_id) WHERE x IS NOT NULL AND y IS NOT NULL AND isfinite(x) AND isfinite(y)) GROUP BY ALL)
+SELECT stack_id, image_ix, true AS is_solved FROM pl WHERE n > 8""")
 def deramp_polynomial(spark, sf):
-    """Ramps of second degree of each image."""
-    rows = _placed_phases(spark, sf).withColumn("x", F.col("x") * 1000).withColumn("y", F.col("y") * 1000)
-    return correction.polynomial_ramps(rows, ["stack_id", "image_ix"], "ph", 2.0)
+    """Ramps of second degree of each image: do the coefficients solve the normal equations of all its points, summed anew?"""
+    rows = _placed_phases(spark, sf)
+    found = correction.polynomial_ramps(rows.withColumn("x", F.col("x") * 1000).withColumn("y", F.col("y") * 1000), ["stack_id", "image_ix"], "ph", 2.0)
+    sums = rows.groupBy("stack_id", "image_ix").agg(*(F.expr(p) for p in _products.split(", ")), *(F.expr(p) for p in _sides.split(", ")))
+    c = found.where("coefficients is not null").join(sums, ["stack_id", "image_ix"]).withColumn("c", F.col("coefficients"))
+    total = lambda i, f: sum((f(F.col(f"s{i}{j}") * F.col("c")[j]) for j in range(6)), F.lit(0.0))
+    error = lambda i: F.abs(total(i, lambda v: v) - F.col(f"t{i}")) / (1 + total(i, F.abs) + F.abs(F.col(f"t{i}")))
+    return c.select("stack_id", "image_ix", (F.greatest(*(error(i) for i in range(6))) < 1e-6).alias("is_solved"))
 
 
 @query(f"""WITH {PH}, s AS (SELECT ps_id, image_ix, day, ph, image_ix = master_ix AS is_ref FROM ph JOIN stacks USING (stack_id))
@@ -673,13 +697,29 @@ def velocity_ols(spark, sf):
     return v.where("n > 2").select("ps_id", r6("velocity", 5).alias("velocity"), "n")
 
 
+#: Whitened by the closed form of a first-order process: the first value, then each less half of the one before.
+SERIES, RHO = 16, 0.5
+
+
+@query(f"""WITH s AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS p, 12.0 * i AS t FROM embeddings, range({SERIES}) r(i)),
+w AS (SELECT vec_id, i, CASE WHEN i = 0 THEN sqrt(0.75) * p ELSE p - 0.5 * lag(p) OVER q END AS p, CASE WHEN i = 0 THEN sqrt(0.75) * t ELSE t - 0.5 * lag(t) OVER q END AS t, CASE WHEN i = 0 THEN sqrt(0.75) ELSE 0.5 END AS o FROM s WINDOW q AS (PARTITION BY vec_id ORDER BY i)),
+m AS (SELECT vec_id, sum(o * o) AS a, sum(o * t) AS b, sum(t * t) AS c, sum(o * p) AS d, sum(t * p) AS e FROM w GROUP BY vec_id)
+SELECT vec_id, round(-(a * e - b * d) / (a * c - b * b) * 365.25 / (4 * pi()) * 56, 5) + 0.0 AS velocity FROM m""")
+def velocity_gls(spark, sf):
+    """Velocities by generalised least squares with a full covariance of the images (here that of a first-order process)."""
+    day = np.arange(SERIES) * 12.0
+    row = network.lscov(np.stack([np.ones(SERIES), day], 1), RHO ** np.abs(np.subtract.outer(np.arange(SERIES), np.arange(SERIES))))[1]
+    p = F.transform(F.slice("embedding", 1, SERIES), lambda v: v.cast("double"))
+    return vectors(spark, sf).select("vec_id", r6(-cplx.dot(p, row.tolist()) * 365.25 / (4 * math.pi) * 56, 5).alias("velocity"))
+
+
 GLS = f"""{PH}, w AS (SELECT stack_id, image_ix, 1 / greatest(var_pop(atan2(sin(ph), cos(ph))), 0.01) AS w FROM ph GROUP BY ALL),
 s AS (SELECT ps_id, w, CAST(day - 737000 AS DOUBLE) AS t, ph AS p, wavelength FROM ph JOIN w USING (stack_id, image_ix) JOIN stacks USING (stack_id)),
 m AS (SELECT ps_id, count(*) AS n, sum(w) AS sw, sum(w * t) AS st, sum(w * p) AS sp, sum(w * t * t) AS stt, sum(w * t * p) AS stp, any_value(wavelength) AS l FROM s GROUP BY ps_id)"""
 
 
 @query(f"WITH {GLS} SELECT ps_id, round(-(sw * stp - st * sp) / (sw * stt - st * st) * 365.25 / (4 * pi()) * l * 1000, 5) + 0.0 AS velocity, n FROM m WHERE n > 2")
-def velocity_gls(spark, sf):
+def velocity_weighted(spark, sf):
     """Velocities weighted by the inverse variance of each image."""
     rows = _with_wavelength(spark, sf)
     w = rows.groupBy("stack_id", "image_ix").agg((1 / F.greatest(F.var_pop(cplx.wrap(F.col("ph"))), F.lit(0.01))).alias("w"))

@@ -139,9 +139,70 @@ SELECT ps_id, image_ix, 'acq_day' AS field_name FROM cur WHERE r.d IS NULL OR r.
 """
 
 
+#: Every pair by brute force, and each point against each edge of each outline by the even-odd rule.
+P1_FOUND = rf"""
+WITH pts AS (SELECT ps_id, r.lon AS lon, r.lat AS lat FROM (
+    SELECT ps_id, arg_max(struct_pack(lon := lon, lat := lat), coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS r FROM ps2 WHERE ps_id IS NOT NULL GROUP BY ps_id)
+  WHERE isfinite(r.lon) AND isfinite(r.lat) AND abs(r.lat) <= 90 AND NOT (r.lon = 0 AND r.lat = 0)),
+e AS (SELECT ps_id, {near.EARTH} * cos(radians(lat)) * cos(radians(lon)) AS x, {near.EARTH} * cos(radians(lat)) * sin(radians(lon)) AS y, {near.EARTH} * sin(radians(lat)) AS z FROM pts),
+ring AS (SELECT area_id, row_number() OVER () AS ring, string_split(trim(r, '()'), ',') AS v FROM (SELECT area_id, unnest(regexp_extract_all(outline, '\([^()]+\)')) AS r FROM areas)),
+vertex AS (SELECT area_id, ring, i, CAST(string_split(trim(v[i]), ' ')[1] AS DOUBLE) AS x, CAST(string_split(trim(v[i]), ' ')[2] AS DOUBLE) AS y FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM ring)),
+edge AS (SELECT a.area_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM vertex a JOIN vertex b ON a.ring = b.ring AND b.i = a.i + 1),
+box AS (SELECT area_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vertex GROUP BY area_id),
+near_box AS (SELECT area_id, ps_id, lon + k AS x, lat AS y FROM (SELECT *, unnest([-720, -360, 0, 360, 720]) AS k FROM pts) JOIN box ON lon + k BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1)
+SELECT 'near' AS rel, a.ps_id AS id_a, b.ps_id AS id_b FROM e a JOIN e b ON a.ps_id < b.ps_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 225
+UNION ALL
+SELECT DISTINCT 'in', area_id, ps_id FROM (SELECT n.area_id, n.ps_id, n.x, count(*) AS crossings FROM near_box n JOIN edge USING (area_id)
+  WHERE (y1 > n.y) <> (y2 > n.y) AND n.x < (x2 - x1) * (n.y - y1) / (y2 - y1) + x1 GROUP BY ALL) WHERE crossings % 2 = 1
+"""
+
+_PARTS = ["y", "mo", "d", "h", "mi", "s", "f", "half", "zone", "doy"]
+
+
+def _layout_sql(name: str) -> str:
+    """SELECT of the texts of one layout as their parts; '' where a part is not there."""
+    pattern, to = timestamps.LAYOUTS[name]
+    groups = [g[1:] for g in to.split("|")]
+    take = ", ".join(f"regexp_extract(t, '{pattern}', {g}) AS {p}" if g else f"'' AS {p}" for p, g in zip(_PARTS, groups))
+    return f"SELECT *, '{name}' AS layout, {take} FROM texts WHERE regexp_matches(t, '{pattern}')"
+
+
+_FIXED = ", ".join(f"('{z}', {m})" for z, m in timestamps.ABBREVIATIONS.items())
+#: The stated convention of each writer taken as it is, without any mixture.
+P7_FOUND = rf"""
+WITH texts AS (SELECT rec_id, field_name, writer, tz_name, site_tz, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM (
+    SELECT rec_id, stack_id, writer, tz_name, unnest([struct_pack(field_name := 'acq_day', raw := acq_day_raw), struct_pack(field_name := 'master_day', raw := master_day_raw)], recursive := true) FROM acq_log)
+  LEFT JOIN (SELECT DISTINCT stack_id, site_tz FROM stacks) USING (stack_id)),
+parts AS ({" UNION ALL ".join(_layout_sql(n) for n in timestamps.LAYOUTS)}),
+calendar AS (SELECT *, TRY_CAST(y AS INTEGER) AS yy,
+    CASE WHEN layout = 'slashed' AND writer IS DISTINCT FROM 'isce_us' THEN TRY_CAST(d AS INTEGER) WHEN layout IN ('named', 'mail', 'spoken') THEN CAST(list_position({timestamps.MONTHS!r}, lower(substr(mo, 1, 3))) AS INTEGER) ELSE TRY_CAST(mo AS INTEGER) END AS mm,
+    CASE WHEN layout = 'slashed' AND writer IS DISTINCT FROM 'isce_us' THEN TRY_CAST(mo AS INTEGER) ELSE TRY_CAST(d AS INTEGER) END AS dd,
+    coalesce(TRY_CAST(h AS INTEGER), 0) AS hh, coalesce(TRY_CAST(mi AS INTEGER), 0) AS mins, coalesce(TRY_CAST(s AS INTEGER), 0) AS secs, coalesce(TRY_CAST(rpad(substr(f, 1, 6), 6, '0') AS BIGINT), 0) AS micros
+  FROM parts WHERE layout <> 'number'),
+days AS (SELECT *, CASE WHEN layout = 'ordinal' THEN CASE WHEN TRY_CAST(doy AS INTEGER) BETWEEN 1 AND dayofyear(make_date(yy, 12, 31)) THEN make_date(yy, 1, 1) + TRY_CAST(doy AS INTEGER) - 1 END
+    ELSE TRY_CAST(printf('%04d-%02d-%02d', yy, mm, dd) AS DATE) END AS day,
+    CASE lower(half) WHEN 'am' THEN hh % 12 WHEN 'pm' THEN hh % 12 + 12 ELSE hh END AS hour FROM calendar),
+zoned AS (SELECT *, CASE WHEN zone <> '' THEN zone WHEN tz_name IN (SELECT name FROM pg_timezone_names()) THEN tz_name ELSE site_tz END AS z,
+    CAST(day AS TIMESTAMP) + to_hours(hour) + to_minutes(mins) + to_seconds(secs) + to_microseconds(micros) AS local FROM days
+  WHERE day IS NOT NULL AND hh <= 23 AND mins <= 59 AND secs <= 59 AND (half = '' OR hh BETWEEN 1 AND 12)),
+offsets AS (SELECT zoned.*, CASE WHEN fixed.minutes IS NOT NULL THEN fixed.minutes
+    WHEN regexp_matches(z, '^[+-]\d\d(:?\d\d)?$') THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (CAST(substr(z, 2, 2) AS INTEGER) * 60 + coalesce(TRY_CAST(regexp_extract(z, '^[+-]\d\d:?(\d\d)$', 1) AS INTEGER), 0)) END AS shift
+  FROM zoned LEFT JOIN (VALUES {_FIXED}) fixed(name, minutes) ON z = fixed.name),
+instants AS (SELECT rec_id, field_name, epoch_us(local) - CAST(shift AS BIGINT) * 60000000 AS utc_us FROM offsets WHERE shift IS NOT NULL
+  UNION ALL SELECT rec_id, field_name, CASE WHEN timezone(z, u - INTERVAL 1 HOUR) = local THEN epoch_us(u) - 3600000000 ELSE epoch_us(u) END FROM (
+    SELECT *, timezone(z, local) AS u FROM offsets WHERE shift IS NULL AND z IN (SELECT name FROM pg_timezone_names()))
+  UNION ALL SELECT rec_id, field_name, CASE WHEN length(y) <= 7 THEN (CAST(y AS BIGINT) - CASE WHEN writer = 'python' THEN 719163 ELSE 719529 END) * 86400000000
+      + CAST(round(CASE WHEN f <> '' THEN CAST('0.' || f AS DECIMAL(19, 18)) ELSE 0 END * 86400000000) AS BIGINT)
+    ELSE CAST(y AS BIGINT) * (CASE WHEN length(y) <= 11 THEN 1000000 WHEN length(y) <= 14 THEN 1000 ELSE 1 END)
+      + CAST(round(CASE WHEN f <> '' THEN CAST('0.' || f AS DECIMAL(19, 18)) ELSE 0 END * (CASE WHEN length(y) <= 11 THEN 1000000 WHEN length(y) <= 14 THEN 1000 ELSE 1 END)) AS BIGINT) END
+  FROM parts WHERE layout = 'number')
+SELECT rec_id, field_name, utc_us FROM instants
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled, p7_found, p7_normalised)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p7_found": P7_FOUND, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
