@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltgrid.llm import mixing, sentences, survivors, tokens
+from siltgrid.operators.near import EARTH
 from siltgrid.session import latest, table
 
 
@@ -42,9 +43,25 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_ends(table(spark, sf_dir, "documents")).select("doc_id", "end_pos")
 
 
+#: Pairs by brute force within a stack, groups by reachability, the record to keep by the stated order.
+P6_FOUND = f"""
+WITH RECURSIVE p AS (SELECT ps_id, r.* FROM (SELECT ps_id, arg_max(struct_pack(stack_id := stack_id, lon := lon, lat := lat, d_a := d_a, hgt := hgt, inc := inc, la := la, taken := processed_at), coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS r
+    FROM ps2 WHERE ps_id IS NOT NULL GROUP BY ps_id) WHERE isfinite(r.lon) AND isfinite(r.lat) AND abs(r.lat) <= 90 AND NOT (r.lon = 0 AND r.lat = 0)),
+sc AS (SELECT ps_id, arg_max(struct_pack(c := coh_ps2), coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS r FROM select1 WHERE ps_id IS NOT NULL GROUP BY ps_id),
+e AS (SELECT ps_id, stack_id, {EARTH} * cos(radians(lat)) * cos(radians(lon)) AS x, {EARTH} * cos(radians(lat)) * sin(radians(lon)) AS y, {EARTH} * sin(radians(lat)) AS z FROM p),
+link AS (SELECT a.ps_id AS a, b.ps_id AS b FROM e a JOIN e b ON a.stack_id = b.stack_id AND a.ps_id <> b.ps_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 2.25),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+grouped AS (SELECT a AS ps_id, least(a, min(b)) AS group_id FROM reach GROUP BY a),
+scored AS (SELECT group_id, p.ps_id, CASE WHEN sc.r.c BETWEEN 0 AND 1 AND NOT isnan(sc.r.c) THEN sc.r.c ELSE -1 END AS trust, taken,
+    {' + '.join(f'CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN 1 ELSE 0 END' for c in ('d_a', 'hgt', 'inc', 'la'))} AS filled
+  FROM grouped JOIN p USING (ps_id) LEFT JOIN sc USING (ps_id))
+SELECT group_id, ps_id AS best_id FROM scored QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY trust DESC, filled DESC, coalesce(taken, TIMESTAMP '0001-01-01') DESC, ps_id) = 1
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p6_found, p6_survivors, p8_ids, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": P6_FOUND}
