@@ -7,8 +7,8 @@ every source comes out with its effective support (sum w)^2 / sum w^2 and a mark
 'observed' (it holds a reading), 'filled' (none, but enough support), 'missing' (too little support, value null).
 
 Defined cases: readings that are null, NaN, infinite or a no-data code, or without a day, are no readings; a reading
-on the border of two slots belongs to the later one; days beyond the grid belong to its first or last slot but
-weigh nothing where they are out of the kernel's reach; sources without readings give a row per slot, all missing;
+on the border of two slots belongs to the later one; days beyond the grid belong to its first or last slot, whose value is
+their mean where the kernel reaches no reading; sources without readings give a row per slot, all missing;
 readings of unknown sources and sources of unknown stacks give nothing; of versions of one reading the latest counts.
 """
 
@@ -54,11 +54,12 @@ def evaluate(group, centre_of, day, value, n_groups, first, period, n_slots, hal
     width = int(n_slots.max()) if n_groups else 0
     size = n_groups * width
     reach = int(np.floor(half_width + 0.5))
-    own = np.zeros(size, np.int64)
+    own, mean = np.zeros(size, np.int64), np.zeros(size)
     sums = [np.zeros(size) for _ in range(6)]
     if len(group):
         slot = np.clip(centre_of, 0, n_slots[group] - 1)
         own = np.bincount(group * width + slot, minlength=size)
+        mean = np.bincount(group * width + slot, value, size) / np.maximum(own, 1)
         for shift in range(-reach, reach + 1):
             at = slot + shift
             u = (day - first[group]) / period[group] - at
@@ -76,7 +77,7 @@ def evaluate(group, centre_of, day, value, n_groups, first, period, n_slots, hal
         lined = (support >= 1.6) & (spread > 0.05 * s0 * s0) & (np.abs(s1) < 1.0 * s0)
         fit = np.where(lined, line, t0 / s0)
     status = np.where(own > 0, 2, np.where(support >= least_support, 1, 0))
-    fit = np.where((status > 0) & (s0 > 0), fit, np.nan)
+    fit = np.where((status > 0) & (s0 > 0), fit, np.where(own > 0, mean, np.nan))
     return fit, own, support, status
 
 

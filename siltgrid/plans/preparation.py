@@ -60,7 +60,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole regular grid: a value, its support and its mark for each point and slot."""
-    return gridding.regular_grid(table(spark, sf_dir, "ps2"), table(spark, sf_dir, "phuw2"), table(spark, sf_dir, "stacks"))
+    grid = gridding.regular_grid(table(spark, sf_dir, "ps2"), table(spark, sf_dir, "phuw2"), table(spark, sf_dir, "stacks"))
+    return grid.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("value", "support")})
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,11 @@ def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.unionByName(spikes.implausible_arrays(table(spark, sf_dir, "scn2")))
 
 
+def p4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings flagged by a rule that needs no course: out of bounds, and stuck."""
+    return p4_flags(spark, sf_dir).where("reason <> 'spike'").select("ps_id", "image_ix", "field_name", "reason")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value that was missing and has been filled."""
     return p5_filled(spark, sf_dir).select("ps_id", "image_ix", "field_name")
@@ -131,6 +137,38 @@ used AS (
 SELECT ps_id, CAST(g.slot_ix AS INTEGER) AS slot_ix FROM grid g ANTI JOIN used u USING (ps_id, slot_ix)
 """
 
+#: The local regression written out: Epanechnikov weights over 2.5 periods, sums of each slot, a line or a mean.
+P3_GRID = f"""
+WITH {CURRENT},
+pts AS (SELECT ps_id, arg_max(stack_id, coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS stack_id FROM ps2 WHERE ps_id IS NOT NULL GROUP BY ps_id),
+grid AS (SELECT ps_id, s.stack_id, first_day, repeat_days, n_slots, unnest(range(n_slots)) AS slot_ix FROM pts JOIN stacks s USING (stack_id)),
+used AS (
+  SELECT c.ps_id, c.r.d AS d, CAST(c.r.v AS DOUBLE) AS v, n_slots, (c.r.d - s.first_day) / CAST(s.repeat_days AS DOUBLE) AS u,
+    least(greatest(floor((c.r.d - s.first_day) / CAST(s.repeat_days AS DOUBLE) + 0.5), 0), s.n_slots - 1) AS own
+  FROM cur c JOIN pts USING (ps_id) JOIN stacks s USING (stack_id)
+  WHERE c.r.d >= 1 AND c.image_ix >= 0 AND c.r.v IS NOT NULL AND isfinite(c.r.v) AND c.r.v NOT IN (-9999, -32768)),
+spread AS (SELECT *, own + k AS slot_ix, u - (own + k) AS x, 1 - ((u - (own + k)) / 2.5) ** 2 AS w FROM used, range(-3, 4) t(k)),
+sums AS (SELECT ps_id, slot_ix, sum(w) FILTER (w > 0) AS s0, sum(w * x) FILTER (w > 0) AS s1, sum(w * x * x) FILTER (w > 0) AS s2, sum(w * v) FILTER (w > 0) AS t0, sum(w * x * v) FILTER (w > 0) AS t1,
+    sum(w * w) FILTER (w > 0) AS q, count(*) FILTER (k = 0) AS n, avg(v) FILTER (k = 0) AS mean FROM spread GROUP BY ALL),
+fit AS (SELECT *, coalesce(s0 * s0 / q, 0) AS support, s0 * s2 - s1 * s1 AS det FROM sums)
+SELECT g.ps_id, g.stack_id, CAST(g.slot_ix AS INTEGER) AS slot_ix, CAST(first_day + g.slot_ix * repeat_days AS INTEGER) AS day,
+  round(CASE WHEN coalesce(n, 0) = 0 AND coalesce(support, 0) < 1.5 THEN NULL WHEN s0 IS NULL THEN mean
+    WHEN support >= 1.6 AND det > 0.05 * s0 * s0 AND abs(s1) < s0 THEN (s2 * t0 - s1 * t1) / det ELSE t0 / s0 END, 5) + 0.0 AS value,
+  CAST(coalesce(n, 0) AS INTEGER) AS n_readings, round(coalesce(support, 0), 5) + 0.0 AS support,
+  CASE WHEN coalesce(n, 0) > 0 THEN 'observed' WHEN coalesce(support, 0) >= 1.5 THEN 'filled' ELSE 'missing' END AS status
+FROM grid g LEFT JOIN fit f ON f.ps_id = g.ps_id AND f.slot_ix = g.slot_ix
+"""
+
+P4_RULES = f"""
+WITH {CURRENT},
+sc AS (SELECT ps_id, arg_max(struct_pack(a := ph_scn_slave), coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS r FROM scn2 WHERE ps_id IS NOT NULL GROUP BY ps_id),
+v AS (SELECT ps_id, image_ix, 'ph_uw' AS field_name, r.v AS v FROM cur UNION ALL SELECT ps_id, unnest(range(len(r.a))), 'ph_scn_slave', unnest(r.a) FROM sc),
+ok AS (SELECT *, v IS DISTINCT FROM lag(v) OVER w AS fresh FROM v WHERE v IS NOT NULL AND NOT isnan(v) AND v NOT IN (-9999, -32768) WINDOW w AS (PARTITION BY ps_id, field_name ORDER BY image_ix)),
+runs AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY ps_id, field_name ORDER BY image_ix) AS run FROM ok),
+sized AS (SELECT *, count(*) OVER (PARTITION BY ps_id, field_name, run) AS n FROM runs)
+SELECT ps_id, CAST(image_ix AS INTEGER) AS image_ix, field_name, CASE WHEN abs(v) <= 500 THEN 'stuck' ELSE 'bound' END AS reason FROM sized WHERE n >= 4 OR NOT abs(v) <= 500
+"""
+
 P5_FOUND = f"""
 WITH {CURRENT}
 SELECT ps_id, image_ix, 'ph_uw' AS field_name FROM cur WHERE r.v IS NULL OR isnan(r.v) OR r.v IN (-9999, -32768)
@@ -201,8 +239,8 @@ SELECT rec_id, field_name, utc_us FROM instants
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_grid, p4_found, p4_flags, p5_found, p5_filled, p7_found, p7_normalised)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_grid, p4_found, p4_flags, p4_rules, p5_found, p5_filled, p7_found, p7_normalised)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p7_found": P7_FOUND, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p7_found": P7_FOUND, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p3_grid": P3_GRID, "p4_rules": P4_RULES, "p5_found": P5_FOUND}
