@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgrid.operators.series import groups_of, numbers, whole_groups
+from siltgrid.operators.spikes import like_lengths
 from siltgrid.session import spread
 
 
@@ -105,10 +106,10 @@ def polynomial_ramps(samples: DataFrame, keys: list[str], phase: str, degree: fl
     return packed.select(*keys, solve("v").alias("coefficients"))
 
 
-def temporal_low_pass(series: DataFrame, point: str, day: str, phase: str, width: float, is_reference: str) -> DataFrame:
+def temporal_low_pass(series: DataFrame, point: str, day: str, phase: str, width_days: float, is_reference: str) -> DataFrame:
     """series with `low`: Gaussian mean over time of each point, its reference image left out of the weights.
 
-    Rows come sorted by point in a stream; each point's images are weighed in NumPy, so nothing is joined or exploded.
+    Rows come sorted by point in a stream; points with about as many images are weighed together in NumPy, so nothing is joined or exploded.
     """
     schema = T.StructType([*series.schema.fields, T.StructField("low", T.DoubleType())])
     names = series.columns
@@ -120,26 +121,59 @@ def temporal_low_pass(series: DataFrame, point: str, day: str, phase: str, width
             d, p = numbers(chunk[day], np.float64, np.nan), numbers(chunk[phase], np.float64, np.nan)
             ref = numbers(chunk[is_reference], np.bool_, False)
             low = np.full(len(ids), np.nan)
-            for i, j in zip(start, [*start[1:], len(ids)]):
-                w = np.exp(-((d[i:j, None] - d[None, i:j]) ** 2) / (2 * width * width)) * ~ref[None, i:j]
-                w[:, np.isnan(p[i:j])] = 0
-                total = w.sum(1)
-                low[i:j] = np.divide(w @ np.nan_to_num(p[i:j]), total, out=np.full(j - i, np.nan), where=total > 0)
+            sizes = np.diff(np.r_[start, len(ids)])
+            for of in like_lengths(sizes):
+                width = int(sizes[of].max())
+                step = max(1, 4_000_000 // (width * width))
+                for part in (of[k : k + step] for k in range(0, len(of), step)):
+                    row = np.repeat(np.arange(len(part)), sizes[part])
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(np.r_[0, sizes[part][:-1]]), sizes[part])
+                    at = start[part][row] + place
+                    t, y, counts = (np.full((len(part), width), fill) for fill in (np.nan, 0.0, 0.0))
+                    t[row, place], y[row, place], counts[row, place] = d[at], np.nan_to_num(p[at]), ~ref[at] & ~np.isnan(p[at])
+                    w = np.nan_to_num(np.exp(-((t[:, :, None] - t[:, None, :]) ** 2) / (2 * width_days * width_days))) * counts[:, None, :]
+                    total = w.sum(2)
+                    mean = np.divide(np.einsum("gij,gj->gi", w, y), total, out=np.full(total.shape, np.nan), where=total > 0)
+                    low[at] = mean[row, place]
             yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in chunk.columns), pa.array(low, from_pandas=True)], names=schema.names)
 
     return spread(series, point).sortWithinPartitions(point, day).mapInArrow(run, schema)
 
 
-def spatial_low_pass(points: DataFrame, pairs: DataFrame, value: str, scale: float) -> DataFrame:
-    """(id, low): Gaussian mean of a value over each point and the points near it.
+def spatial_low_pass(points: DataFrame, id_column: str, values: str, scale: float, within: list[str] | None = None) -> DataFrame:
+    """(id, low): Gaussian mean of an array of values over each point and those within four scales of it.
 
-    pairs: id_a, id_b, metres within four scales, each once; they are used both ways.
+    points: id, ex, ey, ez, values, and the columns in `within`, which must be equal. Points of a cell and those around it meet in one task, each
+    shipped once to its own cell and to the few whose halo holds it; no pair is written. A cell holds what the ground does: a point for each pixel.
     """
-    w = F.exp(-(F.col("metres") ** 2) / (2 * scale * scale))
-    both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), w.alias("w")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), w.alias("w")))
-    near = both.join(points.select(F.col("id").alias("other"), F.col(value).alias("v")), "other").select("id", "w", "v")
-    own = points.select("id", F.lit(1.0).alias("w"), F.col(value).alias("v"))
-    return near.unionByName(own).groupBy("id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("low"))
+    within = within or []
+    radius, side = 4 * scale, 8 * scale
+    rows = points.select(*(F.col(w).alias(f"w{k}") for k, w in enumerate(within)), F.col(id_column).alias("id"), "ex", "ey", "ez", F.col(values).alias("v"))
+    halo = rows
+    for a in "xyz":
+        e = F.col(f"e{a}")
+        halo = halo.withColumn(f"c{a}", F.explode(F.sequence(F.floor((e - radius) / side).cast("int"), F.floor((e + radius) / side).cast("int"))))
+    home = F.lit(True)
+    for a in "xyz":
+        home &= F.col(f"c{a}") == F.floor(F.col(f"e{a}") / side).cast("int")
+    keys = [*(f"w{k}" for k in range(len(within))), "cx", "cy", "cz"]
+    schema = T.StructType([T.StructField("id", points.schema[id_column].dataType), T.StructField("low", T.ArrayType(T.DoubleType()))])
+
+    def one(table: pa.Table) -> pa.Table:
+        own = np.flatnonzero(table.column("home").to_numpy())
+        e = np.stack([table.column(f"e{a}").to_numpy() for a in "xyz"], 1)
+        flat = table.column("v").combine_chunks()
+        v = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(e), -1)
+        low = np.empty((len(own), v.shape[1]))
+        step = max(1, 2_000_000 // max(1, len(e)))
+        for k in range(0, len(own), step):
+            d2 = ((e[own[k : k + step], None, :] - e[None, :, :]) ** 2).sum(2)
+            w = np.where(d2 <= radius * radius, np.exp(-d2 / (2 * scale * scale)), 0)
+            low[k : k + step] = w @ v / w.sum(1, keepdims=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, low.size + 1, max(1, v.shape[1]), dtype=np.int32)), pa.array(low.ravel()))
+        return pa.table({"id": table.column("id").take(pa.array(own)), "low": lists})
+
+    return spread(halo.withColumn("home", home), *keys).groupBy(*keys).applyInArrow(one, schema)
 
 
 def less_delay(samples: DataFrame, delays: DataFrame, keys: list[str], phase: str, delay: str = "delay") -> DataFrame:

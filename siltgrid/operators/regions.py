@@ -5,9 +5,9 @@ into a bounding-volume hierarchy that every task holds; a batch of points goes d
 each node passing on the points within its box, and candidate triangles are tested exactly. A point on an edge
 that two triangles of one region share is found in both and reported once.
 
-Triangles are shipped to all tasks in blocks of at most BLOCK, in the order of a space-filling curve. A small set of
-regions is one block; beyond that each block gets a pass over the points in its bounding box, so what is
-broadcast never grows with the data.
+Up to BLOCK triangles are one hierarchy that is shipped to all tasks. More are spread over cells of CELL degrees: triangles go to every
+cell they touch, points to theirs, and each cell has a hierarchy of its own. Cells with many points are cut into parts, each
+with the cell's triangles; nothing is broadcast then, and points are read once.
 
 Defined cases: null, empty or malformed outlines contain nothing; a point on an outline counts as inside; longitudes 360
 apart are the same, so outlines may run past 180; points without a place are in no region; regions that repeat an
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgrid.operators.near import has_place
+from siltgrid.session import stored
 
-#: Triangles of one block; 64 bytes each in every task.
-BLOCK = 200_000
+#: Triangles that are broadcast at most, 64 bytes each in every task; side of a cell in degrees beyond that, and points of a part of it.
+BLOCK, CELL, PART = 200_000, 1.0, 200_000
 LEAF = 8
 
 _RING = re.compile(r"\(([^()]+)\)")
@@ -202,42 +203,54 @@ class Hierarchy:
         return found[:, 0], found[:, 1]
 
 
-def containing_regions(points: DataFrame, areas: DataFrame, id_column: str, lon: str = "lon", lat: str = "lat", block: int = BLOCK) -> DataFrame:
+_FOUND = T.StructType([T.StructField("area_id", T.LongType()), T.StructField("id", T.LongType())])
+
+
+def _triangles_of(columns) -> np.ndarray:
+    return np.stack([np.asarray(c, float) for c in columns], 1).reshape(-1, 3, 2)
+
+
+def _by_cells(places: DataFrame, cut: DataFrame, part: int) -> DataFrame:
+    """(area_id, id) from a hierarchy for each cell; places: id, x, y with longitudes as outlines may have them."""
+    cell = lambda c: F.floor(c / CELL).cast("int")
+    keys = ["cx", "cy"]
+    corner = lambda a, f: cell(f(*(F.col(f"{a}{k}") for k in range(3))))
+    tri = cut
+    for a in "xy":
+        tri = tri.withColumn(f"c{a}", F.explode(F.sequence(corner(a, F.least), corner(a, F.greatest))))
+    tri = stored(tri, "triangle-cells")
+    at = places.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y"))).join(tri.select(*keys).distinct(), keys, "left_semi")
+    at = stored(at, "region-points")
+    parts = at.groupBy(*keys).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    at = at.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(*keys, "part", "id", "x", "y")
+    tri = tri.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*keys, "part", *_TRIANGLE.names)
+
+    def one(points: pa.Table, triangles: pa.Table) -> pa.Table:
+        h = Hierarchy(triangles.column("area_id").to_numpy(), _triangles_of(triangles.column(c).to_numpy() for c in _TRIANGLE.names[1:]))
+        p, area = h.containing(points.column("x").to_numpy(), points.column("y").to_numpy())
+        return pa.table({"area_id": pa.array(area, pa.int64()), "id": points.column("id").to_numpy()[p]})
+
+    return at.groupBy(*keys, "part").cogroup(tri.groupBy(*keys, "part")).applyInArrow(one, _FOUND).distinct()
+
+
+def containing_regions(points: DataFrame, areas: DataFrame, id_column: str, lon: str = "lon", lat: str = "lat", block: int = BLOCK, part: int = PART) -> DataFrame:
     """(area_id, id) of each region and each point inside it; `id_column` must be unique in points."""
     spark = points.sparkSession
-    cut = triangles(areas)
-    n = cut.count()
-    curve = F.floor(F.col("x0") / 4) * 1000 + F.floor(F.col("y0") / 4)  # neighbours on a four-degree raster stay together
-    # the order is only needed where there is more than one block
-    rows = cut.toPandas() if n <= block else None
+    cut = stored(triangles(areas), "triangles")
     places = points.select(F.col(id_column).cast("long").alias("id"), F.col(lon).alias("lon"), F.col(lat).alias("lat")).where(has_place(F.col("lon"), F.col("lat")))
-    schema = T.StructType([T.StructField("area_id", T.LongType()), T.StructField("id", T.LongType())])
-
-    def one(rows) -> DataFrame:
-        t = rows.iloc[:, 1:].to_numpy(float).reshape(-1, 3, 2)
-        tree = spark.sparkContext.broadcast(Hierarchy(rows.iloc[:, 0].to_numpy(), t))
-
-        def run(batches):
-            h = tree.value
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                x = batch.column(1).to_numpy()
-                x = x - 360 * np.floor((x + 180) / 360)
-                y = batch.column(2).to_numpy()
-                # outlines that run past 180 hold points by their longitude a turn further on
-                (p, a), (q, b) = h.containing(x, y), h.containing(x + 360, y)
-                both = np.unique(np.stack([np.r_[p, q], np.r_[a, b]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(ids[both[:, 0]])], names=schema.names)
-
-        return places.mapInArrow(run, schema)
-
-    if rows is not None:
-        return one(rows)
-    from siltgrid.operators.ranking import distributed_rank
-
-    ranked = distributed_rank(cut, [], [curve, *(F.col(c) for c in _TRIANGLE.names)])
-    out = None
-    for k in range(-(-n // block)):
-        part = one(ranked.where(F.floor(F.col("rank") / block) == k).drop("rank").toPandas())
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    # outlines that run past 180 hold points by their longitude a turn further on
+    x = F.col("lon") - 360 * F.floor((F.col("lon") + 180) / 360)
+    if cut.count() > block:
+        return _by_cells(places.select("id", F.explode(F.array(x, x + 360)).alias("x"), F.col("lat").alias("y")), cut, part)
+    rows = cut.toPandas()
+    tree = spark.sparkContext.broadcast(Hierarchy(rows["area_id"].to_numpy(), _triangles_of(rows[c] for c in _TRIANGLE.names[1:])))
+
+    def run(batches):
+        h = tree.value
+        for batch in batches:
+            ids, x, y = (batch.column(k).to_numpy() for k in range(3))
+            (p, a), (q, b) = h.containing(x, y), h.containing(x + 360, y)
+            both = np.unique(np.stack([np.r_[p, q], np.r_[a, b]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(ids[both[:, 0]])], names=_FOUND.names)
+
+    return places.select("id", x.alias("x"), "lat").mapInArrow(run, _FOUND)

@@ -667,11 +667,11 @@ ECEF = f"""(SELECT ps_id, stack_id, {near.EARTH} * cos(radians(lat)) * cos(radia
 p AS (SELECT a.ps_id, b.k, (a.ex - b.ex) ** 2 + (a.ey - b.ey) ** 2 + (a.ez - b.ez) ** 2 AS d2 FROM v a JOIN v b ON a.stack_id = b.stack_id)
 SELECT ps_id AS id, round(sum(k * exp(-d2 / 5000.0)) / sum(exp(-d2 / 5000.0)), 6) + 0.0 AS low FROM p WHERE d2 <= 40000 GROUP BY ps_id""")
 def spatial_lowpass(spark, sf):
-    """Gaussian mean over the points within four scales of 50 m, from a radius join on grid cells."""
+    """Gaussian mean over the points within four scales of 50 m, cell by cell with their halo."""
     k = estimates(spark, sf).where("k is not null and not isnan(k)").select("ps_id", "k")
     p = near.with_positions(points(spark, sf).select("ps_id", "stack_id", "lon", "lat").join(k, "ps_id"))
-    close = near.near_pairs(p, "ps_id", 200.0, ["stack_id"], 400.0)
-    return correction.spatial_low_pass(p.select(F.col("ps_id").alias("id"), "k"), close, "k", 50.0).select("id", r6("low").alias("low"))
+    low = correction.spatial_low_pass(p.withColumn("k", F.array("k")), "ps_id", "k", 50.0, ["stack_id"])
+    return low.select("id", r6(F.col("low")[0]).alias("low"))
 
 
 # ---------------------------------------------------------------- export

@@ -475,10 +475,8 @@ def spatial_noise(points: DataFrame, images: Images, params: Params) -> DataFram
 
     points: pid, x, y, ex, ey, ez, uw less look-angle error. High-pass in time is local to the point; differences along arcs are linear in it, so
     putting them together again would give the same up to the first point's own. The planes of the images in scn_deramp_ifg pass the high-pass
-    untouched. The low-pass in space is a radius join on grid cells.
+    untouched. The low-pass in space goes cell by cell with its halo.
     """
-    from siltgrid.operators.near import near_pairs
-
     day, n = np.asarray(images.day, float), len(images.day)
     gone = image_list(params.get("drop_ifg_index"), n) if not images.pairs else []
     use = _good(images, gone)
@@ -499,12 +497,7 @@ def spatial_noise(points: DataFrame, images: Images, params: Params) -> DataFram
         rough = rows.withColumn("rough", network.invert("uw", high))
     rough = stored(rough.select("pid", "ex", "ey", "ez", "rough"), "rough")
     scale = params.get("scn_wavelength")
-    close = near_pairs(rough.select("pid", "ex", "ey", "ez"), "pid", 4 * scale)
-    g = F.exp(-(F.col("metres") ** 2) / (2 * scale**2))
-    both = close.select(F.col("id_a").alias("pid"), F.col("id_b").alias("other"), g.alias("g")).unionByName(close.select(F.col("id_b").alias("pid"), F.col("id_a").alias("other"), g.alias("g")))
-    near = both.join(rough.select(F.col("pid").alias("other"), "rough"), "other").select("pid", "g", "rough")
-    near = near.unionByName(rough.select("pid", F.lit(1.0).alias("g"), "rough"))
-    mean = stored(near.groupBy("pid").agg(F.array(*(F.sum(F.col("g") * F.col("rough")[k]) / F.sum("g") for k in range(n))).alias("m")), "smooth-noise")
+    mean = stored(correction.spatial_low_pass(rough, "pid", "rough", scale).select(F.col("id").alias("pid"), F.col("low").alias("m")), "smooth-noise")
     first = mean.agg(F.min_by("m", "pid")).first()[0] or [0.0] * n
     base = F.array(*map(F.lit, first))
     return mean.select("pid", F.transform(F.zip_with("m", base, lambda v, f: v - f), lambda v, i: F.when(i == images.reference, F.lit(0.0)).otherwise(v)).alias("scn"))

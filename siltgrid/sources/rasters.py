@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
@@ -23,6 +24,26 @@ DTYPES = {"c64": ("f4", 2), "c32s": ("i2", 2), "f4": ("f4", 1), "f8": ("f8", 1),
 XML_TYPES = {"FLOAT": "f4", "REAL4": "f4", "DOUBLE": "f8", "REAL8": "f8", "CFLOAT": "c64", "BYTE": "u1"}
 
 
+def file_size(path: str) -> int:
+    """Bytes of a file, local or on any file system that the path names by its scheme."""
+    if "://" not in path:
+        return os.path.getsize(path)
+    system, name = fs.FileSystem.from_uri(path)
+    return system.get_file_info(name).size
+
+
+def read_bytes(path: str, start: int, size: int) -> bytes:
+    """Up to `size` bytes of a file from `start`."""
+    if "://" not in path:
+        with open(path, "rb") as file:
+            file.seek(start)
+            return file.read(size)
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as file:
+        size = max(0, min(size, file.size() - start))
+        return file.read_at(size, start) if size else b""
+
+
 def sidecar(path: str) -> dict[str, str]:
     """Properties of path.xml by lower-case name; empty where there is none or it can't be read."""
     try:
@@ -60,7 +81,7 @@ class RasterSource(DataSource):
         size = np.dtype(base).itemsize * parts * bands
         skip = int(self.options.get("skip", 0))
         # a short last row is padded with zeros
-        length = int(self.options.get("length") or -(-max(0, os.path.getsize(path) - skip) // (width * size)))
+        length = int(self.options.get("length") or -(-max(0, file_size(path) - skip) // (width * size)))
         return {
             "path": path, "dtype": kind, "width": width, "length": length, "bands": bands, "band": int(self.options.get("band", 1)), "skip": skip,
             "scheme": (self.options.get("scheme") or xml.get("scheme", "BIL")).upper(), "endian": ">" if self.options.get("endian", "little") == "big" else "<",
@@ -87,16 +108,12 @@ class RasterReader(DataSourceReader):
         rows = partition.last - partition.first
         if not rows:
             return
-        with open(o["path"], "rb") as file:
-            if o["scheme"] == "BSQ" and bands > 1:
-                plane = o["length"] * width * parts
-                file.seek(o["skip"] + ((o["band"] - 1) * plane + partition.first * width * parts) * dtype.itemsize)
-                raw = file.read(rows * width * parts * dtype.itemsize)
-                want = rows * width * parts
-            else:
-                file.seek(o["skip"] + partition.first * per_row * dtype.itemsize)
-                raw = file.read(rows * per_row * dtype.itemsize)
-                want = rows * per_row
+        if o["scheme"] == "BSQ" and bands > 1:
+            want = rows * width * parts
+            first = (o["band"] - 1) * o["length"] * width * parts + partition.first * width * parts
+        else:
+            want, first = rows * per_row, partition.first * per_row
+        raw = read_bytes(o["path"], o["skip"] + first * dtype.itemsize, want * dtype.itemsize)
         v = np.frombuffer(raw[: len(raw) // dtype.itemsize * dtype.itemsize], dtype)
         v = np.pad(v, (0, want - len(v)))
         if o["scheme"] == "BSQ" or bands == 1:
@@ -139,7 +156,7 @@ class StackReader(DataSourceReader):
         base, self.parts = DTYPES[o.get("dtype", "c64")]
         self.dtype = np.dtype((">" if o.get("endian", "little") == "big" else "<") + base)
         self.row = self.width * self.parts * self.dtype.itemsize
-        self.length = int(o.get("length") or -(-max((os.path.getsize(p) for p in self.paths), default=0) // self.row))
+        self.length = int(o.get("length") or -(-max((file_size(p) for p in self.paths), default=0) // self.row))
 
     def partitions(self):
         step = max(1, TASK_BYTES // max(1, self.width * self.parts * 8 * len(self.paths)))
@@ -151,9 +168,7 @@ class StackReader(DataSourceReader):
             return
         z = np.zeros((k, rows * self.width * self.parts))
         for n, path in enumerate(self.paths):
-            with open(path, "rb") as file:
-                file.seek(partition.first * self.row)
-                raw = file.read(rows * self.row)
+            raw = read_bytes(path, partition.first * self.row, rows * self.row)
             v = np.frombuffer(raw[: len(raw) // self.dtype.itemsize * self.dtype.itemsize], self.dtype)
             z[n, : len(v)] = v  # a file that ends early is padded with zeros
         z = z.reshape(k, rows * self.width, self.parts)
@@ -178,16 +193,15 @@ def phase_table(spark: SparkSession, path: str, n: int, columns: int) -> DataFra
 
     The file's size must be that of n times columns samples.
     """
-    if os.path.getsize(path) != n * columns * 8:
-        raise ValueError(f"{path}: {os.path.getsize(path)} bytes are not {n} candidates of {columns} images")
+    if file_size(path) != n * columns * 8:
+        raise ValueError(f"{path}: {file_size(path)} bytes are not {n} candidates of {columns} images")
     schema = StructType([StructField("row", IntegerType()), StructField("ph", ArrayType(DoubleType()))])
 
     def run(batches):
-        z = np.memmap(path, "<c8", "r", shape=(columns, n))
         for batch in batches:
             first, last = (batch.column(c).to_pylist() for c in ("first", "last"))
             for a, b in zip(first, last):
-                ph = np.angle(z[:, a:b]).T
+                ph = np.angle(np.stack([np.frombuffer(read_bytes(path, 8 * (k * n + a), 8 * (b - a)), "<c8") for k in range(columns)], 1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ph.size + 1, columns, dtype=np.int32)), pa.array(ph.ravel().astype(float)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b, dtype=np.int32)), lists], names=schema.names)
 

@@ -6,8 +6,6 @@ normal-equation sums per point to a table of sums, so old readings are never rea
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,5 +37,5 @@ def follow(stream: DataFrame, folder: str, day0: float, checkpoint: str | None =
     def write(batch: DataFrame, number: int) -> None:
         sums(batch, day0).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or str(Path(folder) / "_progress"))
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{folder.rstrip('/')}/_progress")
     return q.trigger(availableNow=True).start()
