@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltgrid.functions import kernels
-from siltgrid.operators import components, correction, mesh, network, pairs, patches, ranking, topofit, unwrapping, weeding
+from siltgrid.operators import components, correction, mesh, network, pairs, patches, phasegrid, ranking, topofit, unwrapping, weeding
 from siltgrid.params import Params, deramp_list, image_list, prepare_modes
 from siltgrid.sources import metadata, rasters, vectors
 
@@ -196,7 +196,7 @@ def test_integration_over_parts():
 
 
 def test_unwrap_grid_arcs(spark):
-    """Six points on a 3 by 3 grid that part by more than half a turn between dates: time tells how."""
+    """Six cells that part by more than half a turn from the first to the last date: a window of a few days tells how (one of 730 does not)."""
     cell = np.array([[0, 0], [0, 1], [0, 2], [2, 0], [2, 1], [2, 2]])
     day, rate = np.array([-24.0, -12.0, 0.0, 12.0, 24.0]), 0.7 * np.arange(6)
     owner = mesh.nearest_nodes((3, 3), cell)
@@ -216,6 +216,22 @@ def test_unwrap_grid_arcs(spark):
     assert np.allclose((out - out[:1]) - (pairs_phase - pairs_phase[:1]), 0, atol=1e-6)
 
 
+def test_unwrap_fixture_with_its_own_places_and_window(spark):
+    """The published fixture as it stands: places in metres, a window of 730 days. Two points share a cell; series are finite and cells filled."""
+    xy = [(0, 0), (200, 0), (600, 0), (0, 400), (400, 400), (600, 600)]
+    day, rate = np.array([-24.0, -12.0, 0.0, 12.0, 24.0]), 0.7 * np.arange(6)
+    pairs_of = [(2, k) for k in range(5) if k != 2]
+    points = spark.createDataFrame([(i, 1, float(x), float(y)) for i, (x, y) in enumerate(xy)], "pid int, all int, x double, y double")
+    cell = {r.pid: (r.gi, r.gj) for r in phasegrid.with_cells(points, ["all"], 200.0).collect()}
+    assert {i for c in cell.values() for i in c} <= {0, 1, 2} and cell[4] == cell[5] == (2, 2)
+    owner = mesh.nearest_nodes((3, 3), np.array(sorted(set(cell.values()))))
+    _, rows, columns = mesh.grid_arcs(owner)
+    assert rows.shape == (2, 3) and columns.shape == (3, 2)
+    samples = spark.createDataFrame([(k, *cell[p], float(rate[p] * day[j] / 12)) for p in range(6) for k, (_, j) in enumerate(pairs_of)], "img int, gi int, gj int, p double")
+    got = unwrapping.unwrap_space_time(phasegrid.accumulate(samples, ["img", "gi", "gj"], "p"), pairs_of, day.tolist(), [0.0] * 4, "3D_FULL", 730.0, None, filtered=False).toPandas()
+    assert len(got) == 4 * len(set(cell.values())) and np.isfinite(got.ph).all()
+
+
 @pytest.mark.parametrize("method,pairs_of", [("3D", [(5, k) for k in range(11) if k != 5]), ("3D_QUICK", [(k, k + d) for k in range(11) for d in (1, 2) if k + d < 11]), ("3D", [(k, k + d) for k in range(11) for d in (1, 2) if k + d < 11])])
 def test_arcs_in_time(method, pairs_of):
     """Slope and motion of arcs, over a single reference and over a pair network."""
