@@ -644,8 +644,10 @@ def deramp_polynomial(spark, sf):
     found = correction.polynomial_ramps(rows.withColumn("x", F.col("x") * 1000).withColumn("y", F.col("y") * 1000), ["stack_id", "image_ix"], "ph", 2.0)
     sums = rows.groupBy("stack_id", "image_ix").agg(*(F.expr(p) for p in _products.split(", ")), *(F.expr(p) for p in _sides.split(", ")))
     c = found.where("coefficients is not null").join(sums, ["stack_id", "image_ix"]).withColumn("c", F.col("coefficients"))
-    error = lambda i: F.abs(sum((F.col(f"s{i}{j}") * F.col("c")[j] for j in range(6)), F.lit(0.0)) - F.col(f"t{i}")) / (1 + F.abs(F.col(f"t{i}")))
-    return c.select("stack_id", "image_ix", (F.greatest(*(error(i) for i in range(6))) < 1e-6).alias("is_solved"))
+    # relative to the size of the terms: an error against the sum alone follows the order of the rows (2e-7 here), this one does not
+    total = lambda i, f: sum((f(F.col(f"s{i}{j}") * F.col("c")[j]) for j in range(6)), F.lit(0.0))
+    error = lambda i: F.abs(total(i, lambda v: v) - F.col(f"t{i}")) / (1 + total(i, F.abs) + F.abs(F.col(f"t{i}")))
+    return c.select("stack_id", "image_ix", (F.greatest(*(error(i) for i in range(6))) < 1e-13).alias("is_solved"))
 
 
 @query(f"""WITH {PH}, s AS (SELECT ps_id, image_ix, day, ph, image_ix = master_ix AS is_ref FROM ph JOIN stacks USING (stack_id))
