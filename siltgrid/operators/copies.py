@@ -10,8 +10,8 @@ field, directly or through others, cost the same whatever they are paired with,
 fields they may agree in is assigned by itself, and what it leaves is paired in order over the whole key. Components
 larger than WHOLE are first swept along their first field as one sorted stream, in bounded memory: rows equal within
 tolerance in all fields cancel, as many as can with one field. With one field that is least cost. With several fields
-the rest of such a component is paired by the most fields it is equal in, group by group, which is a matching that no
-single pair improves but not always one of least cost (tests measure the loss).
+the rest of such a component is paired by the most fields it is equal in, and that pairing is then solved anew in blocks of WHOLE along
+each field until nothing is gained: never worse, but not always of least cost (the README gives the measured loss).
 
 Defined cases: null equals NaN; a null key is a key like any other; equal infinities are equal and any other pair with an
 infinity differs; numbers differ beyond tolerance * max(1, |a|, |b|); exact ties of the assignment go to the first
@@ -248,6 +248,38 @@ def _links(rows: DataFrame, keys: list[str], fields: list[str], tolerance: float
     return held.alias("h").join(least.alias("c"), on).where("_row <> _least").select("_row", "_least").distinct()
 
 
+def _improved(rows: DataFrame, greedy: list[DataFrame], keys: list[str], fields: list[str], tolerance: float, patience: int = 2) -> DataFrame:
+    """Pairs that agree in some field, from greedy ones solved anew in blocks until `patience` rounds over all orders gain nothing.
+
+    A block is an exact assignment of WHOLE units (a pair stays together, a lone row is one) that stand close along one field; it holds
+    its present pairs, so no round is worse than the one before. Each round orders by another field and shifts the blocks.
+    """
+    mates = greedy[0]
+    for g in greedy[1:]:
+        mates = mates.unionByName(g)
+    values = [f"{s}_{c}" for s in "lr" for c in fields]
+    best, idle, turn, now = -1, 0, 0, None
+    while idle < patience * len(fields):
+        unit = mates.select(F.explode(F.array("l__row", "r__row")).alias("_row"), F.col("l__row").alias("_unit"))
+        held = stored(rows.join(unit, "_row", "left").withColumn("_unit", F.coalesce("_unit", "_row")), "units")
+        f = fields[turn % len(fields)]
+        # a pair may stand by either row's value, so that rows left over on both sides come to meet it
+        at = (F.min if turn // len(fields) % 2 == 0 else F.max)(f).alias("_at")
+        ranked = distributed_rank(held.groupBy("_part", "_unit").agg(at), ["_part"], ["_at", "_unit"])
+        shift = (turn // len(fields)) * WHOLE // 3
+        block = F.floor((F.col("rank") + shift) / WHOLE).alias("_block")
+        blocks = held.join(ranked.select(F.col("_part"), "_unit", block), ["_part", "_unit"])
+        solved = assigned(blocks, [*keys, "_part", "_block"], fields, tolerance, "_row")
+        differing = sum((F.col(f"d_{c}") for c in fields), F.lit(0))
+        agreed = solved.where(F.col("_l_row").isNotNull() & F.col("_r_row").isNotNull()).withColumn("_gain", len(fields) - differing).where("_gain > 0")
+        found = stored(agreed.select(*keys, *values, F.col("_l_row").alias("l__row"), F.col("_r_row").alias("r__row"), "_gain"), "resolved")
+        gain = found.agg(F.sum("_gain")).first()[0] or 0
+        now, mates = found, found.select("l__row", "r__row")
+        idle = idle + 1 if gain <= best else 0
+        best, turn = max(best, gain), turn + 1
+    return now.select(*keys, *(f"{s}_{c}" for s in "lr" for c in [*fields, "_row"]), F.lit(None).cast("string").alias("_one"))
+
+
 def of_large(rows: DataFrame, keys: list[str], fields: list[str], tolerance: float) -> DataFrame:
     """Pairs of the keys with more than WHOLE leftover rows: component by component, then the rest in order."""
     rows = stored(rows.select(*keys, *fields, "_side").withColumn("_row", F.monotonically_increasing_id()), "large-keys")
@@ -266,12 +298,15 @@ def of_large(rows: DataFrame, keys: list[str], fields: list[str], tolerance: flo
         shape = met.where("_kind = 'same'").select(*keys, *(f"{s}_{c}" for s in "lr" for c in [*fields, "_row"]), F.lit(None).cast("string").alias("_one"))
         found.append(shape)
         left = met.where("_kind <> 'same'").select(*keys, "_part", *(F.coalesce(f"l_{c}", f"r_{c}").alias(c) for c in [*fields, "_row"]), F.col("_kind").alias("_side"))
+        rows_left, greedy = left, []
         for size in range(len(fields) - 1, 0, -1):
             for same in combinations(fields, size):
                 pairs = stored(_in_order(left, [*keys, "_part", *same], [c for c in fields if c not in same], "inner"), "greedy")
-                found.append(pairs.select(*keys, *(F.col(c).alias(f"{s}_{c}") if c in same else f"{s}_{c}" for s in "lr" for c in fields), "l__row", "r__row", "_one"))
+                greedy.append(pairs.select("l__row", "r__row"))
                 gone = pairs.select(F.explode(F.array("l__row", "r__row")).alias("_row"))
                 left = stored(left.join(gone, "_row", "left_anti"), "greedy-left")
+        if greedy:
+            found.append(_improved(rows_left, greedy, keys, fields, tolerance))
     whole = found[0]
     for f in found[1:]:
         whole = whole.unionByName(f)
