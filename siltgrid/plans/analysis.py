@@ -937,3 +937,34 @@ def stack_chain(spark, sf):
     images = pipeline.Images([737000.0 + 12 * k for k in range(16)], BASELINE[:16], 7)
     params = Params().set("clap_low_pass_wavelength", 800.0)
     return pipeline.run(p, images, params)["export"]
+
+
+@query("SELECT vec_id AS pid, true AS is_recovered FROM embeddings")
+def network_chain(spark, sf):
+    """The chain over a pair network whose phases are written down: steady motion that grows with x, a height error of each point, no noise.
+
+    Is each point's velocity, relative to the mean of all, that which was put in, to a tenth of a millimetre a year?
+    """
+    from siltgrid.params import Params
+    from siltgrid.plans import pipeline
+
+    e = lambda k: F.col("embedding")[k].cast("double")
+    n, ref = 10, 3
+    day = [737000.0 + 24 * k for k in range(n)]
+    base = [BASELINE[7 * k % 16] for k in range(n)]  # not in step with time, or height and motion could not be told apart
+    bperp = [b - base[ref] for b in base]
+    network_pairs = [(i, i + d) for i in range(n) for d in (1, 2) if i + d < n]
+    rows = vectors(spark, sf).select(
+        F.col("vec_id").alias("pid"), F.lit(1).alias("patch"), (e(60) * 2000).alias("x"), (e(61) * 2000).alias("y"), (10 + e(60) / 40).alias("lon"), (45 + e(61) / 55).alias("lat"), F.lit(0.2).cast("double").alias("d_a"), F.lit(100.0).alias("hgt"),
+        (e(60) * 4).alias("velocity"), (e(62) * 0.002).alias("k"),
+    )
+    turn = -4 * math.pi / 56 / 365.25
+    ph = F.array(*(cplx.wrap(F.col("velocity") * turn * (day[j] - day[i]) + F.col("k") * (bperp[j] - bperp[i])) for i, j in network_pairs))
+    stack = rows.withColumn("ph", ph)
+    images = pipeline.Images(day, bperp, ref, pairs=network_pairs)
+    params = Params(small_baseline=True).set("merge_resample_size", 0.0).set("select_method", "PERCENT")
+    out = pipeline.run(stack.drop("velocity", "k"), images, params, corrections="v-d")["export"].join(rows.select("pid", "velocity"), "pid")
+    from siltgrid.session import stored
+
+    out = stored(out.select("pid", (F.col("vel") - F.col("velocity")).alias("off")), "network-chain")
+    return out.join(F.broadcast(out.agg(F.avg("off").alias("mean"))), F.lit(True)).select("pid", (F.abs(F.col("off") - F.col("mean")) < 0.1).alias("is_recovered"))
