@@ -123,3 +123,20 @@ def test_velocity_by_covariance(spark):
     slope = np.linalg.solve(t.T @ w @ t, t.T @ w @ u[:, use].T)[1]
     assert np.allclose([got[i] for i in range(5)], slope * -365.25 / (4 * np.pi) * 56, atol=1e-8)
     assert np.allclose(network.lscov(t, cov[np.ix_(use, use)])[1] @ u[:, use].T, slope)
+
+
+def test_noise_weeding_of_a_network(spark):
+    """With finite thresholds, arcs of pairs less their slope tell noisy points; the default thresholds keep all."""
+    rng = np.random.RandomState(4)
+    n = 150
+    images = pipeline.Images([737000.0 + 24 * k for k in range(N)], [0.0, 60.0, -40.0, 0.0, 90.0, -70.0, 30.0, 110.0, -20.0, 50.0], 3, pairs=PAIRS)
+    b = np.array(images.phase_bperp)
+    k, noisy = rng.uniform(-0.003, 0.003, n), np.arange(n) % 8 == 0
+    ph = k[:, None] * b + rng.normal(0, 0.1, (n, len(PAIRS)))
+    ph[noisy] = rng.uniform(-np.pi, np.pi, (noisy.sum(), len(PAIRS)))
+    rows = [(i, 1, float(x), float(y), 9.0, float(k[i]), 0.0, 0.9, ph[i].tolist()) for i, (x, y) in enumerate(rng.uniform(0, 2000, (n, 2)))]
+    df = spark.createDataFrame(rows, "pid long, patch int, x double, y double, hgt double, k2 double, c2 double, coh2 double, ph array<double>")
+    params = Params(small_baseline=True)
+    assert pipeline.weed_points(df, images, params).count() == n
+    kept = pipeline.weed_points(df, images, params.set("weed_standard_dev", 0.8)).toPandas().pid.to_numpy()
+    assert (~noisy)[kept].sum() == (~noisy).sum() and noisy[kept].sum() == 0
